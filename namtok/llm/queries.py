@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from namtok.llm.language_id import op10_language_id
+from namtok.llm.simhash import op2_simhash
 from namtok.llm.token_counts import op1_token_counts
 from namtok.llm.token_files import op5_token_files
 
@@ -14,6 +15,7 @@ from namtok.llm.token_files import op5_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_simhash": op2_simhash,
         "op5_token_files": op5_token_files,
         "op10_language_id": op10_language_id,
     }
