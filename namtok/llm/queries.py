@@ -10,6 +10,7 @@ from namtok.llm.language_id import op10_language_id
 from namtok.llm.simhash import op2_simhash
 from namtok.llm.token_counts import op1_token_counts
 from namtok.llm.token_files import op5_token_files
+from namtok.llm.warc import OP7_SQL, op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
         "op5_token_files": op5_token_files,
+        "op7_warc": op7_warc,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": OP7_SQL}
