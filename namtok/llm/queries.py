@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from namtok.llm.decontaminate import OP3_SQL, op3_decontaminate
 from namtok.llm.language_id import op10_language_id
 from namtok.llm.simhash import op2_simhash
 from namtok.llm.token_counts import op1_token_counts
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
+        "op3_decontaminate": op3_decontaminate,
         "op5_token_files": op5_token_files,
         "op7_warc": op7_warc,
         "op10_language_id": op10_language_id,
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op7_warc": OP7_SQL}
