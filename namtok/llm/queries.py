@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from namtok.llm.decontaminate import OP3_SQL, op3_decontaminate
+from namtok.llm.exact_substrings import op4_repeats
 from namtok.llm.language_id import op10_language_id
 from namtok.llm.simhash import op2_simhash
 from namtok.llm.token_counts import op1_token_counts
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
         "op3_decontaminate": op3_decontaminate,
+        "op4_repeats": op4_repeats,
         "op5_token_files": op5_token_files,
         "op7_warc": op7_warc,
         "op10_language_id": op10_language_id,
