@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from namtok.llm.decontaminate import OP3_SQL, op3_decontaminate
 from namtok.llm.exact_substrings import op4_repeats
 from namtok.llm.language_id import op10_language_id
+from namtok.llm.line_dedup import op6_line_dedup
 from namtok.llm.simhash import op2_simhash
 from namtok.llm.token_counts import op1_token_counts
 from namtok.llm.token_files import op5_token_files
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_repeats": op4_repeats,
         "op5_token_files": op5_token_files,
+        "op6_line_dedup": op6_line_dedup,
         "op7_warc": op7_warc,
         "op10_language_id": op10_language_id,
     }
