@@ -6,7 +6,7 @@ words (the pieces between ASCII white space) in order. A word is looked up in th
 1. a two-generation cache of words seen before, of bounded size;
 2. if its characters are all simple (see ``SIMPLE``), it is cut into pre-tokens here. A pre-token
    that the offline table proves to be one whole token costs one lookup, the rest is merged by the
-   tokenizers library and kept in a second bounded cache;
+   tokenizers library's model, without its normalisers, and kept in a second bounded cache;
 3. any other word, and any with a special token's string, goes to the library as it is.
 """
 
@@ -77,7 +77,8 @@ class WordEncoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         pack = self.pack
         self.whole = {text: pack([i]) for text, i in whole.items()}
-        self.merged = Cache(lambda text: pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+        merge, letters = self.tokenizer.model.tokenize, {b: c for c, b in byte_letters().items()}
+        self.merged = Cache(lambda text: pack([t.id for t in merge(text.encode().decode("latin-1").translate(letters))]))
         self.words = Cache(self.word)
 
     def pack(self, ids: Iterable[int]) -> bytes:
