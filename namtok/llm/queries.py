@@ -10,6 +10,7 @@ from namtok.llm.decontaminate import OP3_SQL, op3_decontaminate
 from namtok.llm.exact_substrings import op4_repeats
 from namtok.llm.language_id import op10_language_id
 from namtok.llm.line_dedup import op6_line_dedup
+from namtok.llm.media_copies import op8_media_copies
 from namtok.llm.sentencepiece import op9_sentencepiece
 from namtok.llm.simhash import op2_simhash
 from namtok.llm.token_counts import op1_token_counts
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
         "op7_warc": op7_warc,
+        "op8_media_copies": op8_media_copies,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_language_id": op10_language_id,
     }
