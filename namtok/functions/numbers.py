@@ -23,36 +23,38 @@ def is_thai_digits(text: Column) -> Column:
     return text.rlike(f"^[{DIGITS}]+$")
 
 
-def _word(digit: Column) -> Column:
-    return F.element_at(F.array(F.lit(""), *map(F.lit, WORDS[1:])), (digit + 1).cast("int"))
+def _digits(n: int, places: list[str]) -> str:
+    """Words of a number of three digits or less whose places have these names."""
+    out = ""
+    for digit, place in zip(map(int, f"{n:03d}"), places, strict=True):
+        if not digit:
+            continue
+        if place == "สิบ":
+            out += ("" if digit == 1 else TWO_BEFORE_TEN if digit == 2 else WORDS[digit]) + place
+        elif not place and digit == 1 and n % 100 > 10:
+            out += ONE_AFTER_TEN
+        else:
+            out += WORDS[digit] + place
+    return out
+
+
+def _lookup(n: Column, places: list[str]) -> Column:
+    """The words of 0 … 999, from a table made by rule that the optimiser folds to a constant."""
+    return F.get(F.array(*[F.lit(_digits(i, places)) for i in range(1000)]), n.cast("int"))
 
 
 def _below_million(n: Column) -> Column:
-    parts = []
-    for word, size in MULTIPLIERS.items():
-        digit = F.pmod(F.floor(n / F.lit(size)), F.lit(10))
-        lead = _word(digit)
-        if size == 10:
-            lead = F.when(digit == 1, "").when(digit == 2, TWO_BEFORE_TEN).otherwise(lead)
-        parts.append(F.when(digit > 0, F.concat(lead, F.lit(word))).otherwise(""))
-    unit, ten = F.pmod(n, F.lit(10)), F.pmod(F.floor(n / F.lit(10)), F.lit(10))
-    parts.append(F.when((unit == 1) & (ten > 0), ONE_AFTER_TEN).otherwise(_word(unit)))
-    return F.concat(*parts)
+    return F.concat(_lookup(F.floor(n / F.lit(1000)), ["แสน", "หมื่น", "พัน"]), _lookup(F.pmod(n, F.lit(1000)), ["ร้อย", "สิบ", ""]))
 
 
 def number_to_thai_word(number: Column) -> Column:
     """Number words of 0 … 2^63 - 1; null for negative numbers."""
     n = number.cast("bigint")
     million = F.lit(1_000_000)
-    groups = [F.pmod(n, million)]
-    rest = n
-    for _ in range(3):
-        rest = F.floor(rest.cast("decimal(20,0)") / million).cast("bigint")
-        groups.append(F.pmod(rest, million))
-    out, reached = F.lit(""), F.lit(False)
-    for i, group in reversed(list(enumerate(groups))):
-        reached = reached | (group > 0)
-        out = F.concat(out, _below_million(group), F.when(reached, MILLION).otherwise("") if i else F.lit(""))
+    size = [F.lit(10 ** (6 * i)).cast("decimal(20,0)") for i in range(4)]
+    groups = F.array(*[F.pmod(F.floor(n.cast("decimal(20,0)") / x).cast("bigint"), million) for x in reversed(size)])
+    words = F.transform(F.filter(F.transform(groups, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: n >= F.element_at(F.array(*[F.lit(10 ** (6 * i)) for i in (3, 2, 1, 0)]), x["i"] + 1)), lambda x: _below_million(x["g"]))
+    out = F.array_join(words, MILLION)
     return F.when(n == 0, WORDS[0]).when(n > 0, out)
 
 
@@ -77,8 +79,8 @@ def _parse_below_million(text: Column) -> Column:
             (s["ok"] & F.when(one, s["ten"] & (s["pending"] < 0)).when(digit.isNotNull(), s["pending"] < 0).otherwise(True)).alias("ok"),
         )
 
-    end = F.aggregate(tokens, start, step)
-    return F.when((F.array_join(tokens, "") == text) & end["ok"], end["total"] + F.greatest(end["pending"], F.lit(0)))
+    finish = lambda s: F.when(s["ok"], s["total"] + F.greatest(s["pending"], F.lit(0).cast("bigint")))
+    return F.when(text.rlike(f"^(?:{TOKENS})+$"), F.aggregate(tokens, start, step, finish))
 
 
 def thai_word_to_number(text: Column) -> Column:
