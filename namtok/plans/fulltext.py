@@ -199,7 +199,7 @@ def matched(index: DataFrame, query, id_col: str = "doc_id", docs: DataFrame | N
 
     ``docs`` (ids) is needed where a document without any of the lexemes can match, as with a sole NOT.
     """
-    names = lexemes_of(query)
+    names = lexemes_of(query) or [""]  # a query without lexemes matches what no lexeme decides
     kept = index.filter(F.col("lexeme").isin(names))
     places = kept.groupBy(id_col).agg(*[F.sort_array(F.collect_set(F.when(F.col("lexeme") == x, F.col("pos")))).alias(f"p{i}") for i, x in enumerate(names)])
     empty = F.array().cast("array<int>")
@@ -227,7 +227,7 @@ def matched(index: DataFrame, query, id_col: str = "doc_id", docs: DataFrame | N
         return reduce(lambda a, b: a & b if q.kind == "and" else a | b, map(true, q.parts))
 
     found = places.filter(true(query))
-    table = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.col(f"p{i}"))]) if names else F.create_map()
+    table = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.col(f"p{i}"))])
     return found.select(id_col, table.alias("places"))
 
 
