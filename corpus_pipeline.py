@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from namtok.llm import decontaminate, language_id, line_dedup, sentencepiece, simhash
 from namtok.llm.common import materialize, table
+from namtok.shipping import ship
 
 #: Least posterior of the best language.
 SURE = 0.5
@@ -49,12 +50,17 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return sentencepiece.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _stage(function):
+    """The stage, after the package has been sent to the executors."""
+    return lambda spark, docs, sf_dir: function(ship(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", dedup_lines),
-    ("simhash", drop_near_duplicates),
-    ("decontaminate", drop_contaminated),
-    ("sentencepiece", encode_pieces),
+    ("language_id", _stage(identify_language)),
+    ("line_dedup", _stage(dedup_lines)),
+    ("simhash", _stage(drop_near_duplicates)),
+    ("decontaminate", _stage(drop_contaminated)),
+    ("sentencepiece", _stage(encode_pieces)),
 ]
 
 #: SQL can't express the model, the edit join, the fingerprints or the encoding; tests hold run() against a plain version.
