@@ -40,6 +40,21 @@ def parse(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return tokens.select(id_col, "position", token_id(F.col("kind")).alias("tokid"), F.col("text").alias("token"))
 
 
+def ts_debug(tokens: DataFrame, config: AnalyzerConfig | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, position, alias, token, lexemes): what indexing makes of each token; none for stop words, punctuation and emoji."""
+    low = F.col("kind").isin("Latin", "Unknown")
+    made = F.when(low, F.array(F.lower("text"))).otherwise(lexize(F.col("text"), F.col("synonyms"), F.col("pos")))
+    skipped = F.col("kind").isin("Punctuation", "Emoji") | (F.col("is_stop") if (config or AnalyzerConfig()).stopwords else F.lit(False))
+    alias = F.when(F.col("kind").isin(*TOKEN_TYPES), F.lower("kind")).otherwise("named")
+    return tokens.select(id_col, "position", alias.alias("alias"), F.col("text").alias("token"), F.when(~skipped, made).otherwise(F.array().cast("array<string>")).alias("lexemes"))
+
+
+def lexize(word: Column, synonyms: Column, pos: Column) -> Column:
+    """A word, up to four synonyms, and its tag's lexeme."""
+    tag = F.when(pos.isNotNull(), F.array(F.concat(F.lit("pos_"), F.lower(pos)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(word), F.slice(synonyms, 1, 4), tag)
+
+
 def script_fts_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: DataFrame | None = None) -> DataFrame:
     """Full-text tokens by script runs alone, for texts without Thai: no dictionary and no shuffle."""
     tokens = script_tokens(df, id_col, text_col).filter("kind <> 'Whitespace'")

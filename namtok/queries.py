@@ -349,6 +349,32 @@ def lexemes(spark: SparkSession, d: str) -> DataFrame:
     return annotate.lexemes(annotate.fts_tokens(_meals(spark, d), lexicons.builtin(spark), config, "n_nationkey"), "n_nationkey")
 
 
+_FIRST = f"SELECT o_orderkey, word, unnest(range(1, length(word) + 1)) AS n FROM ({WORDS})"
+
+
+@query(f"SELECT o_orderkey, substr(word, 1, n::INTEGER) AS word FROM ({_FIRST}) WHERE substr(word, 1, n::INTEGER) IN ({', '.join(repr(w) for w in lexicons.number_words())})")
+def dictionary_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    rows = _words(spark, d).withColumnRenamed("word", "text")
+    words = lexicons.builtin(spark).words.filter(F.col("word").isin(*lexicons.number_words()))
+    return segmentation.prefixes(rows, words).select("o_orderkey", "word")
+
+
+@query("SELECT * FROM (VALUES (1, 'thai'), (2, 'latin'), (3, 'number'), (4, 'punctuation'), (5, 'emoji'), (6, 'unknown'), (7, 'named')) t(tokid, alias)")
+def token_types(spark: SparkSession, d: str) -> DataFrame:
+    return fulltext.token_types(spark)
+
+
+@query(f"SELECT conv_id, turn, count(*) FILTER (WHERE kind = 'Unknown') AS unknown FROM ({_SPANS}) GROUP BY ALL")
+def unknown_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = pre_tokenize(spark, d).withColumn("id", F.struct("conv_id", "turn"))
+    return segmentation.unknown_counts(rows, "id").select("id.conv_id", "id.turn", "unknown")
+
+
+@query()
+def romanize_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return romanize.romanize_sentence(_meals(spark, d), lexicons.builtin(spark), "n_nationkey")
+
+
 # -- spelling and keywords --------------------------------------------------------------------------
 
 _VOCABULARY = "SELECT lower(w) AS word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations) GROUP BY ALL"
@@ -411,6 +437,19 @@ def keyword_top(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round(F.col("score").cast("double"), 3))
 
 
+@query(
+    f"WITH {_FREQ}, c AS (SELECT doc_id, ord, token, top / (freq + 1)::DOUBLE AS idf FROM ({_CONTENT}) JOIN f USING (token), top WHERE length(token) >= 2 AND token NOT IN {_STOPS}), "
+    "w AS (SELECT doc_id, token AS a, idf AS x, lead(token) OVER o AS b, lead(idf) OVER o AS y, lead(token, 2) OVER o AS c, lead(idf, 2) OVER o AS z, count(*) OVER (PARTITION BY doc_id) AS total FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY ord)), "
+    "p AS (SELECT doc_id, total, a || ' ' || b AS word, (x + y) / 2 AS idf FROM w WHERE b IS NOT NULL UNION ALL SELECT doc_id, total, a || ' ' || b || ' ' || c, (x + y + z) / 3 FROM w WHERE c IS NOT NULL), "
+    "s AS (SELECT doc_id, word, count(*) AS count, ((count(*)::DOUBLE / any_value(total)::DOUBLE) * any_value(idf))::FLOAT AS score FROM p GROUP BY doc_id, word), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank FROM s) SELECT doc_id, word, count, round(score::DOUBLE, 2) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3"
+)
+def keyphrase_top(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _tokens(spark, d)
+    found = keywords.keyphrases(tokens, keywords.corpus_frequencies(tokens), _stopwords(spark), 3)
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 2))
+
+
 # -- full text --------------------------------------------------------------------------------------
 
 _INDEXED = f"SELECT doc_id, CASE WHEN kind IN ('Latin', 'Unknown') THEN lower(token) ELSE token END AS lexeme, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS pos FROM ({_TOKENS}) WHERE kind NOT IN ('Whitespace', 'Punctuation', 'Emoji') AND token NOT IN {_STOPS}"
