@@ -150,15 +150,15 @@ def _id(page_id: int | None) -> str:
     return f"urn:page:{'' if page_id is None else page_id}"
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", least_bytes: int = 0, compress: bool = False) -> None:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", least_bytes: int = 0, compress: bool = True) -> None:
     """Write a record per row to files of about FILE_BYTES in ``folder`` (a URI that all executors share).
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of ``least_bytes``
     or more, that with the smallest id is a response and the others are revisits of it; smaller
     payloads are all responses. A null id comes after all others; of rows with the same least id
-    the one that a task meets is a response. An empty table gives no file. Payloads themselves
-    aren't shuffled: the least id of each digest is aggregated and joined by digest, hot digests
-    by broadcast.
+    the one that a task meets is a response. An empty table gives no file. Files are gzip members,
+    one a record, unless ``compress`` is off. Digests are grouped and joined without the payloads,
+    hot ones by broadcast; rows meet their revisit by id, which is spread evenly.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     digests = pages.select(F.sha1(html).alias("digest"), F.octet_length(html).alias("n"), F.col(id_col).cast("long").alias("id"))
