@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm.common import table
+from namtok.llm.common import slices, table
 
 SHINGLE, OVERLAP = 5, 0.8
 #: BM25 constants, items in a block of a posting list, and bytes of item text in one broadcast index.
@@ -189,7 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 old = batch.column(batch.num_columns - 1)
                 found = [sorted((m or []) + [dict(zip(("item_id", "overlap", "question_overlap", "answer_overlap"), x, strict=True)) for x in index.matches(t)], key=lambda x: x["item_id"]) for m, t in zip(old.to_pylist(), batch.column(at).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, old.type)], batch.schema.names)

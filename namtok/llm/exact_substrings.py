@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm.common import drop, join_unique, materialize, shuffle_partitions, table
+from namtok.llm.common import drop, join_unique, materialize, shuffle_partitions, slices, table
 from namtok.llm.suffixes import common_prefix, decode, front_code, merge
 
 WINDOW, CONTEXT, GRAM = 400, 128, 32
@@ -95,7 +95,7 @@ def _read(texts: DataFrame) -> DataFrame:
     """(key, digest, place, least, most, prefix) of every anchor; prefix is the suffix's first seven bytes as a number."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out, owners = [], []
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for place, least, most, key in anchors(text):
@@ -117,7 +117,7 @@ def _runs(splitters: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges: dict[int, dict[tuple[bytes, bytes], list[bytes]]] = defaultdict(lambda: defaultdict(list))
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for digest, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for a in found:
                     place = a["place"]
@@ -250,7 +250,7 @@ def _digests(docs: DataFrame) -> DataFrame:
     """(digest, id, n_bytes, text) of every row; the digest is XXH3's 128 bits of the whole text."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), batch.column(0)], ["digest", "id"])
 
@@ -260,7 +260,7 @@ def _digests(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             digests = [xxhash.xxh3_128_digest(t) for t in texts]
             new = [i for i, d in enumerate(digests) if d not in seen and not seen.add(d)]
@@ -273,7 +273,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (digest, text, copies, intervals of repeated starts) to what is left of each text."""
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for digest, text, copies, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             spans: list[list[int]] = []

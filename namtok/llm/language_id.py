@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm.common import table
+from namtok.llm.common import slices, table
 
 #: Hash buckets that all n-grams of 1 to 3 characters share.
 BUCKETS = 1 << 16
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 own = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
             total = np.zeros((len(texts), len(m.langs)))
             seen = np.zeros(len(texts), bool)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm.common import drop, join_unique, materialize, shuffle_partitions, table
+from namtok.llm.common import drop, join_unique, materialize, shuffle_partitions, slices, table
 
 EDITS, LEAST = 2, 20
 #: White space that is cut off both ends of a line.
@@ -107,7 +107,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found.clear()
         return pa.RecordBatch.from_arrays(columns, ["line_hash", "handle", "line", "unnamed", "id", "number", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for number, line in _lines(text):
                 place = (doc is None, doc or 0, number)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm.common import join_unique, materialize, table
+from namtok.llm.common import join_unique, materialize, slices, table
 from namtok.llm.components import connected_components
 
 #: Words in a shingle, seed of its XXH64, and differing bits at which fingerprints still link.
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of every row's whole text as a signed 64-bit integer."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = b"".join([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["id", "fp"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from namtok.llm import word_tokens
-from namtok.llm.common import table
+from namtok.llm.common import slices, table
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -29,7 +29,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens.encoder(*shared.value)
         width = encoder.dtype.itemsize
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             tokens = np.array([len(encoder.ids(t)) // width for t in texts], np.int64)
             n_bytes = pa.array([len(t) for t in texts], pa.int64())
