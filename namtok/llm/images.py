@@ -130,11 +130,9 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = response[border:-border, border:-border]
-        peak = np.ones(inner.shape, bool)
-        for dy in (-2, -1, 0, 1, 2):
-            for dx in (-2, -1, 0, 1, 2):
-                if dx or dy:
-                    peak &= inner >= response[border + dy : response.shape[0] - border + dy, border + dx : response.shape[1] - border + dx]
+        around = response[border - 2 : response.shape[0] - border + 2, border - 2 : response.shape[1] - border + 2]
+        rows = np.maximum.reduce([around[k : k + inner.shape[0]] for k in range(5)])
+        peak = inner >= np.maximum.reduce([rows[:, k : k + inner.shape[1]] for k in range(5)])
         y, x = np.nonzero(peak & (inner > 1e-3 * max(float(response.max()), 1e-9)) & (inner > 1.0))
         found += [(float(inner[b, a]), len(levels) - 1, int(a) + border, int(b) + border) for b, a in zip(y, x, strict=True)]
     if not found:
@@ -142,19 +140,22 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     found = sorted(found, key=lambda f: (-f[0], *f[1:]))[:FEATURES]
     grid = np.arange(-RADIUS, RADIUS + 1)
     disc = grid[:, None] ** 2 + grid[None, :] ** 2 <= RADIUS**2
-    places, bits = [], []
-    for _, level, x, y in found:
-        smooth = levels[level]
-        patch = smooth[y - RADIUS : y + RADIUS + 1, x - RADIUS : x + RADIUS + 1]
-        weight = np.where(disc, patch - patch[disc].mean(), 0)
-        angle = np.arctan2((weight * grid[:, None]).sum(), (weight * grid[None, :]).sum())
-        c, s = np.cos(angle), np.sin(angle)
-        px = np.clip(np.rint(x + PATTERN[..., 0] * c - PATTERN[..., 1] * s).astype(int), 0, smooth.shape[1] - 1)
-        py = np.clip(np.rint(y + PATTERN[..., 0] * s + PATTERN[..., 1] * c).astype(int), 0, smooth.shape[0] - 1)
+    places, bits = np.zeros((len(found), 4)), np.zeros((len(found), TESTS), bool)
+    for level, smooth in enumerate(levels):
+        own = [k for k, f in enumerate(found) if f[1] == level]
+        if not own:
+            continue
+        x, y = np.array([found[k][2:] for k in own]).T
+        patch = smooth[(y[:, None] + grid)[:, :, None], (x[:, None] + grid)[:, None, :]] * disc
+        weight = (patch - (patch.sum(axis=(1, 2)) / disc.sum())[:, None, None]) * disc
+        angle = np.arctan2((weight * grid[:, None]).sum(axis=(1, 2)), (weight * grid).sum(axis=(1, 2)))
+        c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+        px = np.clip(np.rint(x[:, None, None] + PATTERN[..., 0] * c - PATTERN[..., 1] * s).astype(int), 0, smooth.shape[1] - 1)
+        py = np.clip(np.rint(y[:, None, None] + PATTERN[..., 0] * s + PATTERN[..., 1] * c).astype(int), 0, smooth.shape[0] - 1)
         value = smooth[py, px]
-        places.append((x / SCALES[level], y / SCALES[level], angle, SCALES[level]))
-        bits.append(value[:, 0] < value[:, 1])
-    return np.array(places), np.packbits(np.array(bits), axis=1)
+        places[own] = np.stack([x / SCALES[level], y / SCALES[level], angle, np.full(len(own), SCALES[level])], axis=1)
+        bits[own] = value[..., 0] < value[..., 1]
+    return places, np.packbits(bits, axis=1)
 
 
 def inliers(matches: np.ndarray, tolerance: float = 4.0) -> int:

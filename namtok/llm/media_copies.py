@@ -3,6 +3,8 @@
 Equal bytes are one image. Of each image the workers describe the strongest multiscale corners
 (``images.describe``). A descriptor's bits are cut into TABLES keys; rows (table, key) of two images
 that agree are candidate matches, so descriptors that differ in fewer than TABLES bits always meet.
+Keys have 64 bits: keys of 32 bits met 68 times as many corners of unrelated scenes, whose number
+grows with the square of the table.
 A pair of images with VOTES matches or more is a copy if one similarity explains VOTES of them.
 
 In a key's group images stand in order of id. Up to WHOLE of them all pairs are candidates; in
@@ -21,29 +23,49 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namtok.llm import images
-from namtok.llm.common import join_unique, materialize, table
+from namtok.llm.common import join_unique, materialize, rows_per_batch, table
 from namtok.llm.components import connected_components
 
-TABLES, VOTES, WHOLE, NEXT = 8, 6, 8, 4
+TABLES, VOTES, WHOLE, NEXT = 4, 6, 8, 4
+#: Media that are sent to Python at once.
+MEDIA_ROWS = 500
+
+
+def pack(places: np.ndarray) -> np.ndarray:
+    """x, y, angle and scale of corners in one integer each: 20 bits for a coordinate in eighths, 12 for an angle, 8 for the scale's number."""
+    scale = np.array([images.SCALES.index(s) for s in places[:, 3]], np.int64)
+    turn = np.rint((places[:, 2] + np.pi) / (2 * np.pi) * 4095).astype(np.int64)
+    return np.rint(places[:, 0] * 8).astype(np.int64) << 40 | np.rint(places[:, 1] * 8).astype(np.int64) << 20 | turn << 8 | scale
+
+
+def unpack(packed: np.ndarray) -> np.ndarray:
+    turn = (packed >> 8 & 4095) / 4095 * 2 * np.pi - np.pi
+    return np.stack([(packed >> 40) / 8, (packed >> 20 & 0xFFFFF) / 8, turn, np.array(images.SCALES)[packed & 255]], axis=1)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, media) to rows (node, n, corner number, x, y, angle, scale, keys)."""
+    """Rows (node, media) to rows (node, places, keys), one for each image; a task describes equal images once."""
+    seen: set[int] = set()
     for batch in batches:
-        out = []
+        nodes, places, keys = [], [], []
         for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            places, bits = images.describe(images.decode(data))
-            keys = bits.reshape(len(bits), TABLES, -1).copy().view(">u4")[:, :, 0].astype(np.int64) if len(bits) else np.zeros((0, TABLES), np.int64)
-            out += [(node, k, *map(float, p), row.tolist()) for k, (p, row) in enumerate(zip(places, keys, strict=True))]
-        columns = zip(*out, strict=True) if out else [()] * 7
-        types = [pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "corner", "x", "y", "angle", "scale", "keys"])
+            if node in seen:
+                continue
+            seen.add(node)
+            place, bits = images.describe(images.decode(data))
+            if len(bits):
+                nodes.append(node)
+                places.append(pack(place))
+                keys.append(bits.reshape(len(bits) * TABLES, -1).copy().view(">i8")[:, 0].astype(np.int64))
+        if len(seen) > 1 << 20:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "places", "keys"])
 
 
 def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, matches) to the pairs that one similarity explains."""
     for batch in batches:
-        kept = [(a, b) for a, b, m in zip(*(c.to_pylist() for c in batch.columns), strict=True) if images.inliers(np.array([[*x["p"], *x["q"]] for x in m])) >= VOTES]
+        kept = [(a, b) for a, b, m in zip(*(c.to_pylist() for c in batch.columns), strict=True) if images.inliers(np.hstack([unpack(np.array([x[k] for x in m], np.int64)) for k in "pq"])) >= VOTES]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], ["a", "b"])
 
 
@@ -55,31 +77,23 @@ def copies(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     and an empty table gives an empty result.
     """
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(media_col), F.lit(b"")).alias("media")).withColumn("digest", F.unhex(F.sha2("media", 256)))
-    ids = materialize(rows.select("id", "digest"), "media-ids")
+    with rows_per_batch(media.sparkSession, MEDIA_ROWS):
+        ids = materialize(rows.select("id", "digest"), "media-ids")
     nodes = ids.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.xxhash64("digest"))
     nodes = materialize(nodes, "media-nodes")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # a task describes equal bytes once
-        for batch in batches:
-            digests = [xxhash.xxh3_128_digest(m) for m in batch.column(1).to_pylist()]
-            new = [i for i, d in enumerate(digests) if d not in seen and not seen.add(d)]
-            if len(seen) > 1 << 20:
-                seen.clear()
-            yield batch.take(pa.array(new, pa.int64()))
-
-    distinct = rows.select(F.xxhash64("digest").alias("node"), "media").mapInArrow(once, "node long, media binary")
-    features = distinct.mapInArrow(_features, "node long, corner int, x double, y double, angle double, scale double, keys array<long>")
-    features = materialize(features.dropDuplicates(["node", "corner"]), "media-features")
-    place = F.array("x", "y", "angle", "scale")
-    entries = features.select("node", "corner", place.alias("p"), F.posexplode("keys").alias("table", "key"))
-    window = Window.partitionBy("table", "key").orderBy("node", "corner")
+    with rows_per_batch(media.sparkSession, MEDIA_ROWS):
+        features = rows.select(F.xxhash64("digest").alias("node"), "media").mapInArrow(_features, "node long, places array<long>, keys array<long>")
+        features = materialize(features.dropDuplicates(["node"]), "media-features")
+    entries = features.select("node", "places", F.posexplode("keys").alias("i", "key"))
+    entries = entries.select("node", F.get("places", F.floor(F.col("i") / TABLES).cast("int")).alias("p"), (F.col("i") % TABLES).cast("byte").alias("table"), "key")
+    window = Window.partitionBy("table", "key").orderBy("node", "p")
     entries = entries.withColumn("size", F.count("*").over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    other = F.struct(F.col("node").alias("b"), F.col("corner").alias("d"), F.col("p").alias("q"))
+    other = F.struct(F.col("node").alias("b"), F.col("p").alias("q"))
     near = [F.lead(other, k).over(window) for k in range(1, WHOLE)]
     chosen = F.array(*[F.when((F.col("size") <= WHOLE) | (F.lit(k) <= NEXT), x) for k, x in enumerate(near, 1)], F.when(F.col("size") > WHOLE, F.first(other).over(window)))
-    matches = entries.withColumn("near", chosen).withColumn("o", F.explode("near")).select(F.col("node").alias("a"), "p", "o.*")
+    matches = entries.withColumn("near", chosen).withColumn("o", F.explode(F.array_compact("near"))).select(F.col("node").alias("a"), "p", "o.*")
     matches = matches.filter("b is not null and a <> b")
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
@@ -88,9 +102,9 @@ def copies(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     links = pairs.mapInArrow(_consensus, "a long, b long")
     labels = connected_components(links, "media-links")
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = features.groupBy("node").agg(F.count("*").alias("n_features"))
+    counts = features.select("node", F.size("places").alias("n_features"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    found = named.join(classes, "root").join(counts, "node", "left").select("digest", "n", "class_id", F.coalesce("n_features", F.lit(0)).alias("n_features"))
+    found = named.join(classes, "root").join(counts, "node", "left").select("digest", "n", "class_id", F.coalesce("n_features", F.lit(0)).cast("long").alias("n_features"))
     found = materialize(found, "media-classes")
     return join_unique(ids, found, "digest", "n", total).drop("digest").withColumnRenamed("id", id_col)
 

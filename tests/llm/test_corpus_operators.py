@@ -202,7 +202,7 @@ def test_images():
     assert len(places) == images.FEATURES
     for variant in range(1, 8):
         other, other_bits = images.describe(images.decode(media_copies.render([1.0] * 64, variant)))
-        matches = [[*p, *q] for p, x in zip(places, bits, strict=True) for q, y in zip(other, other_bits, strict=True) if (x.reshape(8, 4) == y.reshape(8, 4)).all(axis=1).any()]
+        matches = [[*p, *q] for p, x in zip(places, bits, strict=True) for q, y in zip(other, other_bits, strict=True) if (x.reshape(media_copies.TABLES, -1) == y.reshape(media_copies.TABLES, -1)).all(axis=1).any()]
         assert images.inliers(np.array(matches)) >= media_copies.VOTES
     assert images.decode(b"nonsense") is None and images.decode(None) is None and images.decode(b"P5 9") is None
 
