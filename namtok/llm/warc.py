@@ -154,20 +154,21 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col:
     """Write a record per row to files of about FILE_BYTES in ``folder`` (a URI that all executors share).
 
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of ``least_bytes``
-    or more, that with the smallest id is a response and the others are revisits of it; smaller
-    payloads are all responses. A null id comes after all others; of rows with the same least id
-    the one that a task meets is a response. An empty table gives no file. Files are gzip members,
-    one a record, unless ``compress`` is off. Digests are grouped and joined without the payloads,
-    hot ones by broadcast; rows meet their revisit by id, which is spread evenly.
+    or more, those with the smallest id are responses and the others are revisits of it; smaller
+    payloads are all responses. A null id comes after all others; rows whose payload stands at no
+    other id than null are responses. Ids may repeat with other payloads: a revisit's target is the
+    response of its id and its payload's digest. An empty table gives no file. Files are gzip
+    members, one a record, unless ``compress`` is off. Digests are grouped and joined without the
+    payloads, hot ones by broadcast; rows meet their revisit by id and digest, which are spread evenly.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     digests = pages.select(F.sha1(html).alias("digest"), F.octet_length(html).alias("n"), F.col(id_col).cast("long").alias("id"))
     firsts = materialize(digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "warc-digests")
     total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     revisits = digests.filter(F.col("n") >= least_bytes).drop("n")
-    revisits = join_unique(revisits, firsts, "digest", "n", total).filter("id is null or id <> first").select(F.col("id").alias("key"), "first").dropDuplicates(["key"])
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), html.alias("html"))
-    rows = rows.join(revisits, rows["id"].eqNullSafe(revisits["key"]), "left").select("id", "uri", "html", "first")
+    revisits = join_unique(revisits, firsts, "digest", "n", total).filter("first is not null and (id is null or id <> first)").select(F.col("id").alias("key"), F.col("digest").alias("same"), "first").dropDuplicates(["key", "same"])
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), html.alias("html"), F.sha1(html).alias("digest"))
+    rows = rows.join(revisits, rows["id"].eqNullSafe(revisits["key"]) & (rows["digest"] == revisits["same"]), "left").select("id", "uri", "html", "first")
     suffix = ".warc.gz" if compress else ".warc"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -196,6 +196,16 @@ def test_warc(spark, compress):
     assert warc.read_pages(spark, empty_folder).count() == 0
 
 
+def test_warc_repeated_and_null_ids(spark):
+    rows = [(1, "x"), (2, "y"), (None, "x"), (None, "lone"), (None, "twin"), (None, "twin"), (4, "x"), (4, "own"), (4, "y"), (6, "own")]
+    folder = shared_dir(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(i, t, "u") for i, t in rows], "page_id long, html string, url string").repartition(3), folder)
+    got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_pages(spark, folder).collect()]
+    first = {"x": 1, "y": 2, "own": 4}
+    want = [(i, warc.base32_sha1(t.encode()), *(("response", None) if first.get(t) == i or t not in first else ("revisit", first[t]))) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_images():
     scene = images.decode(media_copies.render([1.0] * 64, 0))
     places, bits = images.describe(scene)
