@@ -77,7 +77,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(place, first and last distance back to a string's start, hash of the context) of a text's anchors, piece by piece."""
+    """(place, first and last distance back to a string's start, hash of the context) of a text's anchors, piece by piece.
+
+    Strings before and after a piece's edge can choose one place, so a piece's last anchor is held
+    back and joined to the next piece's first if they are the same.
+    """
+    held: list[np.ndarray] = []
     for start in range(0, len(text) - WINDOW + 1, PIECE):
         data = np.frombuffer(text, np.uint8, min(PIECE + WINDOW - 1, len(text) - start), start)
         n, sums, power = len(data), _sums(data), _powers()[0]
@@ -88,7 +93,15 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         last = np.concatenate([first[1:] - 1, [len(chosen) - 1]])
         place = chosen[first]
         key = _mixed((sums[place + CONTEXT] - sums[place]) * power[place])
-        yield place + start, place - last, place - first, key
+        found = [place + start, place - last, place - first, key]
+        if held and held[0][0] == found[0][0]:
+            found[2][0] = held[2][0]
+        elif held:
+            found = [np.concatenate(x) for x in zip(held, found, strict=True)]
+        if start + PIECE <= len(text) - WINDOW:
+            held = [x[-1:] for x in found]
+            found = [x[:-1] for x in found]
+        yield tuple(found)
 
 
 def _read(texts: DataFrame) -> DataFrame:

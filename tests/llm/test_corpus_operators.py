@@ -113,6 +113,23 @@ def test_repeats(spark, rows, monkeypatch, neighbours):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_anchors_across_pieces(monkeypatch):
+    text = random.Random(11).randbytes(20_000) + b"a" * 9000
+    whole = [np.concatenate(x).tolist() for x in zip(*exact_substrings.anchors(text), strict=True)]
+    for piece in (150, 3000, 4099):
+        monkeypatch.setattr(exact_substrings, "PIECE", piece)
+        assert [np.concatenate(x).tolist() for x in zip(*exact_substrings.anchors(text), strict=True)] == whole
+
+
+def test_repeats_in_a_text_of_several_pieces(spark):
+    rng = random.Random(12)
+    edge, shared = exact_substrings.PIECE, "".join(rng.choices("mnopqr", k=700))
+    long = "".join(rng.choices("abcdefgh", k=2 * edge + 5000))
+    rows = [(1, long), (2, long[: edge - 300].upper() + shared + long[edge + 400 :].upper()), (3, "-" + shared + "-")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in exact_substrings.remove_repeats(table(spark, rows)).collect()}
+    assert got == {1: [], 2: [(edge - 300, edge + 400)], 3: [(1, 701)]}
+
+
 def test_repeats_empty(spark):
     assert exact_substrings.remove_repeats(table(spark, [])).count() == 0
 
