@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 
-#: Scales of the pyramid, corners kept of an image (the strongest), radius of the described patch, and number of binary tests.
+#: Scales of the pyramid, corners kept of a tile of an image (the strongest), radius of the described patch, and number of binary tests.
 SCALES, FEATURES, RADIUS, TESTS = (1.0, 0.7071, 0.5), 32, 12, 256
+#: Side of a tile in pixels; an image has as many corners as its area asks for, spread over all of it.
+TILE = 128
 #: Test places: pairs drawn once from a normal distribution in the patch.
 PATTERN = np.clip(np.random.default_rng(8).normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS, RADIUS)
 
@@ -110,7 +113,7 @@ def _resize(image: np.ndarray, scale: float) -> np.ndarray:
 
 
 def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, descriptors): x, y, angle and scale of the strongest corners, and TESTS bits each as bytes.
+    """(places, descriptors): x, y, angle and scale of the strongest corners of each tile, and TESTS bits each as bytes.
 
     Corners are local maxima of the Harris response at each scale. A corner's angle points from it to
     its patch's centre of brightness less the patch's mean, and its test places are turned by it.
@@ -133,11 +136,17 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         around = response[border - 2 : response.shape[0] - border + 2, border - 2 : response.shape[1] - border + 2]
         rows = np.maximum.reduce([around[k : k + inner.shape[0]] for k in range(5)])
         peak = inner >= np.maximum.reduce([rows[:, k : k + inner.shape[1]] for k in range(5)])
-        y, x = np.nonzero(peak & (inner > 1e-3 * max(float(response.max()), 1e-9)) & (inner > 1.0))
+        y, x = np.nonzero(peak & (inner > 1.0))
         found += [(float(inner[b, a]), len(levels) - 1, int(a) + border, int(b) + border) for b, a in zip(y, x, strict=True)]
     if not found:
         return none
-    found = sorted(found, key=lambda f: (-f[0], *f[1:]))[:FEATURES]
+    strongest, kept = sorted(found, key=lambda f: (-f[0], *f[1:])), Counter()
+    found = []
+    for f in strongest:
+        tile = f[2] / SCALES[f[1]] // TILE, f[3] / SCALES[f[1]] // TILE
+        kept[tile] += 1
+        if kept[tile] <= FEATURES:
+            found.append(f)
     grid = np.arange(-RADIUS, RADIUS + 1)
     disc = grid[:, None] ** 2 + grid[None, :] ** 2 <= RADIUS**2
     places, bits = np.zeros((len(found), 4)), np.zeros((len(found), TESTS), bool)

@@ -234,6 +234,19 @@ def test_images():
     assert images.decode(b"nonsense") is None and images.decode(None) is None and images.decode(b"P5 9") is None
 
 
+def agreeing(a, b):
+    """Corners of two images that the tables match and one similarity explains."""
+    (places, bits), (other, other_bits) = images.describe(a), images.describe(b)
+    same = (bits.reshape(len(bits), 1, media_copies.TABLES, -1) == other_bits.reshape(1, len(other_bits), media_copies.TABLES, -1)).all(axis=3).any(axis=2)
+    return images.inliers(np.array([[*places[i], *other[j]] for i, j in np.argwhere(same)]).reshape(-1, 8))
+
+
+def test_crops_of_a_large_image():
+    whole = np.vstack([np.hstack([images.decode(media_copies.render([float(4 * i + j)] * 64, 0)) * (0.1 + 0.05 * (i + j)) + 60 for j in range(4)]) for i in range(4)])
+    for x, y in ((0, 0), (70, 40), (200, 90), (40, 333), (350, 350), (180, 210)):
+        assert agreeing(whole[y : y + 150, x : x + 150], whole) >= media_copies.VOTES
+
+
 def test_png():
     import struct
 
