@@ -1,15 +1,15 @@
 """Operator 8: cropped or edited copies of images in a media column, by local descriptors.
 
 Equal bytes are one image. Of each image the workers describe the strongest multiscale corners
-(``images.describe``). A descriptor's bits are cut into TABLES keys; rows (table, key) of two images
-that agree are candidate matches, so descriptors that differ in fewer than TABLES bits always meet.
-Keys have 64 bits: keys of 32 bits met 68 times as many corners of unrelated scenes, whose number
-grows with the square of the table.
-A pair of images with VOTES matches or more is a copy if one similarity explains VOTES of them.
-
-In a key's group images stand in order of id. Up to WHOLE of them all pairs are candidates; in
-larger groups each image pairs with the next NEXT and with the first, which links every copy of a
-large group to it by way of its neighbours without all pairs. Copies are reported by class.
+(``images.describe``). Two corners match if their descriptors differ in BITS bits at most and agree
+in one of TABLES keys of 16 bits, which differences under TABLES bits always do. A pair of images
+with VOTES matches or more is a copy if one similarity explains VOTES of them. Copies are reported
+by class.
+
+Links are found in two rounds. First, corners that agree in one of WORDS keys of 64 bits meet the
+NEXT in order and the first, which joins most copies without all pairs. Then all corners with
+a key in common meet unless their images are of one class already, so classes are those of all
+pairs. Keys with over BLOCK corners are dealt into blocks, and every two blocks meet.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from namtok.llm import images
 from namtok.llm.common import join_unique, materialize, rows_per_batch, table
 from namtok.llm.components import connected_components
 
-TABLES, VOTES, WHOLE, NEXT = 4, 6, 8, 4
+TABLES, WORDS, BITS, VOTES, NEXT, BLOCK = 16, 4, 48, 6, 4, 4096
 #: Media that are sent to Python at once.
 MEDIA_ROWS = 500
 
@@ -56,7 +56,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(bits):
                 nodes.append(node)
                 places.append(pack(place))
-                keys.append(bits.reshape(len(bits) * TABLES, -1).copy().view(">i8")[:, 0].astype(np.int64))
+                keys.append(bits.reshape(len(bits) * WORDS, -1).copy().view(">i8")[:, 0].astype(np.int64))
         if len(seen) > 1 << 20:
             seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "places", "keys"])
@@ -69,6 +69,42 @@ def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], ["a", "b"])
 
 
+def _pairs(matches: DataFrame) -> DataFrame:
+    """Rows (a, p, b, q) of matching corners to the pairs of images (a, b) that are copies."""
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    matches = matches.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.struct(pick("p", "q").alias("p"), pick("q", "p").alias("q")).alias("m"))
+    return matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).filter(F.size("m") >= VOTES).mapInArrow(_consensus, "a long, b long")
+
+
+def linked(features: DataFrame) -> DataFrame:
+    """Rows (node, places, keys) to links (a, b) that give the components of all pairs that are copies."""
+    words = [F.get("keys", F.col("i") * WORDS + k).alias(f"w{k}") for k in range(WORDS)]
+    corners = features.select("node", "keys", F.posexplode("places").alias("i", "p")).select("node", "p", *words)
+    entries = corners.select("node", "p", F.posexplode(F.array(*[f"w{k}" for k in range(WORDS)])).alias("table", "key"))
+    window = Window.partitionBy("table", "key").orderBy("node", "p")
+    other = F.struct(F.col("node").alias("b"), F.col("p").alias("q"))
+    near = F.array(*[F.lead(other, k).over(window) for k in range(1, NEXT + 1)], F.first(other).over(window))
+    matches = entries.withColumn("near", near).withColumn("o", F.explode(F.array_compact("near"))).select(F.col("node").alias("a"), "p", "o.*")
+    first = materialize(_pairs(matches.filter("a <> b")), "media-near")
+    labels = connected_components(first, "media-near-links")
+
+    pieces = F.array(*[F.shiftrightunsigned(f"w{t // 4}", 48 - 16 * (t % 4)).bitwiseAND(F.lit(0xFFFF)) + F.lit(t << 16) for t in range(TABLES)])
+    corners = corners.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = corners.select("node", "root", "p", *[f"w{k}" for k in range(WORDS)], F.explode(pieces).alias("key"))
+    hot = entries.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    entries = entries.join(F.broadcast(hot), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
+    entries = entries.withColumn("own", F.pmod(F.xxhash64("node", "p"), "blocks").cast("int")).drop("size")
+    left = entries.select("*", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other")).select("key", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"l_{c}") for c in entries.columns if c not in ("key", "own", "blocks")])
+    right = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other")).select("key", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"r_{c}") for c in entries.columns if c not in ("key", "own", "blocks")])
+    differ = [F.col(f"l_w{k}").bitwiseXOR(F.col(f"r_w{k}")) for k in range(WORDS)]
+    near = sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0])) <= BITS
+    apart = (F.col("l_root") != F.col("r_root")) & ((F.col("i") < F.col("j")) | (F.col("l_node") < F.col("r_node")))
+    matches = left.join(right, ["key", "i", "j"]).filter(apart & near)
+    second = _pairs(matches.select(F.col("l_node").alias("a"), F.col("l_p").alias("p"), F.col("r_node").alias("b"), F.col("r_p").alias("q")))
+    return first.unionByName(second)
+
+
 def copies(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """Per row: id, ``class_id`` (the least id of its class) and ``n_features`` of its image.
 
@@ -86,20 +122,7 @@ def copies(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     with rows_per_batch(media.sparkSession, MEDIA_ROWS):
         features = rows.select(F.xxhash64("digest").alias("node"), "media").mapInArrow(_features, "node long, places array<long>, keys array<long>")
         features = materialize(features.dropDuplicates(["node"]), "media-features")
-    entries = features.select("node", "places", F.posexplode("keys").alias("i", "key"))
-    entries = entries.select("node", F.get("places", F.floor(F.col("i") / TABLES).cast("int")).alias("p"), (F.col("i") % TABLES).cast("byte").alias("table"), "key")
-    window = Window.partitionBy("table", "key").orderBy("node", "p")
-    entries = entries.withColumn("size", F.count("*").over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    other = F.struct(F.col("node").alias("b"), F.col("p").alias("q"))
-    near = [F.lead(other, k).over(window) for k in range(1, WHOLE)]
-    chosen = F.array(*[F.when((F.col("size") <= WHOLE) | (F.lit(k) <= NEXT), x) for k, x in enumerate(near, 1)], F.when(F.col("size") > WHOLE, F.first(other).over(window)))
-    matches = entries.withColumn("near", chosen).withColumn("o", F.explode(F.array_compact("near"))).select(F.col("node").alias("a"), "p", "o.*")
-    matches = matches.filter("b is not null and a <> b")
-    swap = F.col("a") > F.col("b")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    matches = matches.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.struct(pick("p", "q").alias("p"), pick("q", "p").alias("q")).alias("m"))
-    pairs = matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).filter(F.size("m") >= VOTES)
-    links = pairs.mapInArrow(_consensus, "a long, b long")
+    links = linked(features)
     labels = connected_components(links, "media-links")
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = features.select("node", F.size("places").alias("n_features"))

@@ -269,6 +269,18 @@ def test_media_copies(spark):
     assert media_copies.copies(media_copies.rendered(vectors.limit(0)), "vec_id", "media").count() == 0
 
 
+def test_links_of_large_groups(spark):
+    """Two classes of copies whose corners' keys many unrelated images share, other images for each corner."""
+    rng = np.random.default_rng(13)
+    shared = rng.integers(-(1 << 62), 1 << 62, (8, media_copies.WORDS))
+    places = media_copies.pack(np.array([[10.0 + 13 * k, 20.0 + 7 * (k * k % 11), 0.5, 1.0] for k in range(8)]))
+    nodes = {1000: shared, 2000: shared}
+    nodes |= {k * 40 + i + base: shared[k : k + 1] for base in (0, 1100) for k in range(8) for i in range(40)}
+    rows = [(n, places[: len(w)].tolist(), w.ravel().tolist()) for n, w in nodes.items()]
+    features = spark.createDataFrame(rows, "node long, places array<long>, keys array<long>")
+    assert {(r.a, r.b) for r in media_copies.linked(features).collect()} == {(1000, 2000)}
+
+
 def test_sentencepiece(spark, rows, tmp_path):
     model, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(1)
     bits = ["a", "b", "the", "  ", " ", "\n", "▁", "é", "日本", "\0", "-", "==", "<0x0A>", "\t", "İ", "ing", "tion"]
