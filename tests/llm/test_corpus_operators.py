@@ -281,6 +281,26 @@ def test_links_of_large_groups(spark):
     assert {(r.a, r.b) for r in media_copies.linked(features).collect()} == {(1000, 2000)}
 
 
+def block_coded(pixels, step):
+    """Blocks of 8 by 8 whose cosine coefficients are rounded, as JPEG does."""
+    k = np.arange(8)
+    cosine = np.cos((2 * k + 1) * k[:, None] * np.pi / 16) / 2
+    cosine[0] /= 2**0.5
+    blocks = pixels.reshape(16, 8, 16, 8).transpose(0, 2, 1, 3)
+    grid = step * (1 + k[:, None] + k)
+    return (cosine.T @ (np.round(cosine @ blocks @ cosine.T / grid) * grid) @ cosine).transpose(0, 2, 1, 3).reshape(128, 128)
+
+
+def test_media_edits(spark):
+    rng, rows = np.random.default_rng(14), []
+    for i in range(10):
+        scene = images.decode(media_copies.render([i + 0.5] * 64, 0))
+        edits = [scene, images._resize(scene, 0.9), images._resize(scene, 0.75), scene + rng.normal(0, 8, scene.shape), images._box(scene, 1) / 9, block_coded(scene, 10)]
+        rows += [(100 * k + i, bytearray(images.encode_pgm(np.clip(np.rint(e), 0, 255)))) for k, e in enumerate(edits)]
+    got = {r.id: r.class_id for r in media_copies.copies(spark.createDataFrame(rows, "id long, media binary"), "id", "media").collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+
+
 def test_sentencepiece(spark, rows, tmp_path):
     model, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(1)
     bits = ["a", "b", "the", "  ", " ", "\n", "▁", "é", "日本", "\0", "-", "==", "<0x0A>", "\t", "İ", "ing", "tion"]
