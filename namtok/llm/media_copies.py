@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namtok.llm import images
@@ -136,7 +136,9 @@ def render(vector: list[float] | None, variant: int, size: int = 128) -> bytes |
     """A scene of overlapping rectangles that a vector seeds, as a PGM; variants are edits of it.
 
     0 to 3: as it is; 4: cropped; 5: brighter with less contrast; 6: turned by a quarter; 7: cropped and darker.
+    From 8 on the same again, less some columns and rows.
     """
+    cut, variant = variant // 8, variant % 8
     if vector is None:
         return None
     rng = np.random.default_rng(xxhash.xxh64_intdigest(np.array(vector, np.float32).tobytes()))
@@ -151,10 +153,10 @@ def render(vector: list[float] | None, variant: int, size: int = 128) -> bytes |
         scene = np.rot90(scene)
     elif variant == 7:
         scene = scene[5 : size - 11, 3 : size - 9] * 0.8
-    return images.encode_pgm(np.clip(scene, 0, 255))
+    return images.encode_pgm(np.clip(scene, 0, 255)[cut // 8 :, cut % 8 :])
 
 
-def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", variants: int = 8) -> DataFrame:
     """(id, media): the tables hold no images, so each row's vector seeds a scene and its id picks an edit of it."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +166,16 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 media = [render(v, k) for v, k in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(media, pa.binary())], ["id", "media"])
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col), (F.crc32(F.col(id_col).cast("string")) % 8).cast("int").alias("variant"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col), (F.crc32(F.col(id_col).cast("string")) % variants).cast("int").alias("variant"))
     return rows.mapInArrow(draw, "id long, media binary").withColumnRenamed("id", id_col)
 
 
+def scene(id_col: str = "vec_id") -> Column:
+    """The number of the scene that a row of the query shows: a third of all rows show one, the others share one by ids that are close."""
+    return F.when(F.col(id_col) % 3 == 0, 0).otherwise(1 + F.floor(F.col(id_col) / 24)).cast("long")
+
+
 def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(rendered(table(spark, sf_dir, "embeddings")), "vec_id", "media")
+    """The vectors are all distinct, so scenes are seeded by number, and rows show them in up to 512 variants."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(F.col("embedding").isNotNull(), F.array(scene().cast("float"))))
+    return copies(rendered(vectors, variants=512), "vec_id", "media")

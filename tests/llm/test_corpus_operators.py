@@ -301,6 +301,17 @@ def test_media_edits(spark):
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def test_media_query_has_copies(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 120").write.parquet(f"{folder}/embeddings.parquet")
+    ids = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", media_copies.scene().alias("scene")).collect()
+    least = {}
+    for r in ids:
+        least[r.scene] = min(least.get(r.scene, r.vec_id), r.vec_id)
+    got = {r.vec_id: r.class_id for r in media_copies.op8_media_copies(spark, folder).collect()}
+    assert got == {r.vec_id: least[r.scene] for r in ids}
+
+
 def test_sentencepiece(spark, rows, tmp_path):
     model, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(1)
     bits = ["a", "b", "the", "  ", " ", "\n", "▁", "é", "日本", "\0", "-", "==", "<0x0A>", "\t", "İ", "ing", "tion"]
