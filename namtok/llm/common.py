@@ -56,15 +56,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 @contextmanager
-def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """Jobs that run inside send at most ``n`` rows at once to Python, for rows of many kilobytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(n, int(before)) if int(before) > 0 else n))
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Jobs that run inside have this session setting."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def rows_per_batch(spark: SparkSession, n: int):
+    """Jobs that run inside send at most ``n`` rows at once to Python, for rows of many kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    return setting(spark, name, str(min(n, before) if before > 0 else n))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,20 +9,18 @@ merges for words of pieces that come out of it whole when encoded alone, which i
 whole vocabulary (``unproven``): then what lies between a piece's ends is two pieces at its turn,
 whatever stands around it.
 
-1. Each task sends the distinct words of its documents. A word begins at a space that follows
-   something else; line feeds, which no piece holds, stand alone.
+1. Each task sends the distinct words of its documents, cut and told apart as arrays. A word begins
+   at a space that follows something else; line feeds, which no piece holds, stand alone.
 2. Distinct words of the corpus are exploded, joined to the broadcast piece table (bounded by the
    vocabulary), grouped without a further shuffle, and folded to their pieces.
-3. Words' ids go back to the tasks they came from, by number and packed, and a second scan of the
-   documents meets the words in the same order and writes ids. Texts are never shuffled.
+3. Words go back with their ids, packed, to the tasks they came from, and a second scan of the
+   documents looks its words up in them and writes ids. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import pairwise
 
@@ -36,15 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm.common import shared_dir, slices, table
+from namtok.llm.common import setting, shared_dir, table
 
 SPACE = "▁"
+MARK = SPACE.encode()
 #: Characters of a word whose boundaries fit the fold's 64-bit masks; longer words are merged in the second scan.
 LONGEST = 60
-#: Distinct words that a task holds before it sends them on.
-GATHER = 600_000
-#: Words whose ids are packed together.
-PACK = 150_000
+#: Bytes of texts that are cut at once, words of a task that are told apart at once, and words whose ids are packed together.
+SLICE, GATHER, PACK = 1 << 23, 2_000_000, 150_000
+#: Tasks whose words share a folder, and words whose edges a task gathers by hashing before it sorts.
+FOLDER, LISTS = 32, 400_000
 
 
 @cache
@@ -67,13 +66,28 @@ def pieces(path: str) -> tuple[dict[str, tuple[int, float]], list[bytes], int]:
     return found, decoded, byte
 
 
-def words(text: str) -> list[str]:
-    """The words of a text with its leading space; they join to it."""
-    if not text:
-        return []
-    if "  " in text or SPACE in text or "\0" in text or text[-1] == " " or text[0] == " ":
-        return re.findall(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
-    return [w for w in (SPACE + text.replace("\n", "\0\n\0").replace(" ", f"\0{SPACE}")).split("\0") if w]
+def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of some texts, words of each text). A space stands for SPACE; a text begins with one that isn't its own."""
+    texts = [t and b" " + t.replace(MARK, b" ") for t in column.cast(pa.binary()).fill_null(b"").to_pylist()]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    space, feed = data == 32, data == 10
+    starts = feed.copy()
+    starts[1:] |= feed[:-1] | space[1:] & ~space[:-1]
+    first = np.cumsum(lengths) - lengths
+    starts[first[lengths > 0]] = True
+    at = np.append(np.flatnonzero(starts), len(data)).astype(np.int64)
+    counts = np.diff(np.searchsorted(at[:-1], np.append(first, len(data))))
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)), counts
+
+
+def fits(distinct: pa.Array, apart: list[str]) -> pa.Array:
+    """Words that the lattice takes: of 2 to LONGEST characters and without an unproven piece."""
+    n = pc.utf8_length(distinct)
+    found = pc.and_(pc.greater(n, 1), pc.less_equal(n, LONGEST))
+    for piece in apart:
+        found = pc.and_not(found, pc.match_substring(distinct, piece.replace(SPACE, " ")))
+    return found
 
 
 def merge(word: str, found: dict[str, tuple[int, float]]) -> list[tuple[int, int]]:
@@ -136,7 +150,7 @@ def lattice(distinct: DataFrame, found: dict[str, tuple[int, float]]) -> DataFra
     """
     longest = max(map(len, found), default=1)
     ranked = ranks(found)
-    names = distinct.sparkSession.createDataFrame(pa.table({"piece": ranked, "rank": pa.array(range(len(ranked)), pa.int64())}))
+    names = distinct.sparkSession.createDataFrame(pa.table({"piece": [p.replace(SPACE, " ") for p in ranked], "rank": pa.array(range(len(ranked)), pa.int64())}))
     n = F.length("word")
     at = distinct.select("word", F.explode(F.sequence(F.lit(0), n - 2)).alias("start"))
     at = at.select("word", "start", F.explode(F.sequence(F.col("start") + 2, F.least(n, F.col("start") + longest))).alias("end"))
@@ -154,55 +168,47 @@ def lattice(distinct: DataFrame, found: dict[str, tuple[int, float]]) -> DataFra
     return edges.withColumn("cuts", cuts).select("word", final.alias("spans"))
 
 
-class Numbering:
-    """Numbers a task's distinct words in the order in which they come; both scans number alike."""
-
-    def __init__(self, apart: list[str]):
-        self.apart, self.next, self.known = apart, 0, {}
-
-    def add(self, word: str) -> int:
-        """The number of a new word, or -1 for one that the lattice doesn't take."""
-        fits = 1 < len(word) <= LONGEST and not any(p in word for p in self.apart)
-        self.next += fits
-        return self.next - 1 if fits else -1
-
-    def end(self) -> bool:
-        """After each text: if the known words are forgotten, to bound memory."""
-        if full := len(self.known) >= GATHER:
-            self.known.clear()
-        return full
-
-
 def _send(apart: list[str]):
-    """Rows (text) to rows (part, number, word) of a task's distinct words that the lattice takes."""
+    """Rows (text) to rows (part, word) of a task's distinct words that the lattice takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, order, sent = TaskContext.get().partitionId(), Numbering(apart), {}
+        part, held, size = TaskContext.get().partitionId(), [], 0
 
         def packed() -> pa.RecordBatch:
-            number, word = pa.array(sent.keys(), pa.int32()), pa.array(sent.values(), pa.string())
-            sent.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(number), part, np.int32)), number, word], ["part", "number", "word"])
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                for word in words(text or ""):
-                    if word not in order.known:
-                        order.known[word] = number = order.add(word)
-                        if number >= 0:
-                            sent[number] = word
-                order.end()
-            if len(sent) >= 100_000:
-                yield packed()
+            found = pa.concat_arrays(held).unique() if held else pa.array([], pa.large_string())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, np.int32)), found.cast(pa.string())], ["part", "word"])
+
+        for batch in pieces_of(batches):
+            distinct = cut(batch.column(0))[0].unique()
+            held.append(distinct.filter(fits(distinct, apart)))
+            size += len(held[-1])
+            if size >= GATHER:
+                held[:] = [pa.concat_arrays(held).unique()]
+                size = len(held[0])
+                if size >= GATHER // 2:  # a further round tells few words apart
+                    yield packed()
+                    size = 0
         yield packed()
 
     return run
 
 
-def compose(own: list[str], spans: pa.ListArray, single: np.ndarray, ids_by_rank: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]:
+def pieces_of(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about so many bytes of their last column; a longer text stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def compose(own: pa.Array, spans: pa.ListArray, single: np.ndarray, ids_by_rank: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids of each word) of words from their spans; characters between spans by ``single`` (id by code, -1: none) or as bytes."""
-    codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4")
-    lengths = np.array([len(w) for w in own], np.int64)
+    codes = np.frombuffer("".join(own.to_pylist()).encode("utf-32-le"), "<u4")
+    lengths = pc.utf8_length(own).to_numpy().astype(np.int64)
     first = np.cumsum(lengths) - lengths
     word = np.repeat(np.arange(len(own)), lengths)
     ids = single[codes]
@@ -216,51 +222,50 @@ def compose(own: list[str], spans: pa.ListArray, single: np.ndarray, ids_by_rank
     at = np.flatnonzero(np.cumsum(inner[:-1]) == 0)
     ids, word, codes = ids[at], word[at], codes[at]
     if (ids < 0).any():
-        raw = [chr(c).encode("utf-8", "replace") if i < 0 else b"" for i, c in zip(ids.tolist(), codes.tolist(), strict=True)]
+        raw = [chr(c).encode() if i < 0 else b"" for i, c in zip(ids.tolist(), codes.tolist(), strict=True)]
         times = np.array([max(1, len(r)) for r in raw])
         ids, word = np.repeat(ids, times), np.repeat(word, times)
         ids[ids < 0] = byte + np.frombuffer(b"".join(raw), np.uint8)
     return ids, np.bincount(word, minlength=len(own))
 
 
-def check(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) & 0xFFFF
+def gathered(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at these places and have these lengths, one after the other."""
+    return values[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
 def _pack(path: str):
-    """Rows (part, number, word, spans) to rows (part, words): for each part the ids of its words from this task, packed."""
+    """Rows (part, word, spans) to rows (folder, part, words): for each part its words from this task with their ids, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, decoded, byte = pieces(path)
+        found, _, byte = pieces(path)
         single = np.full(0x110000, -1, np.int32)
         for piece, (i, _) in found.items():
             if len(piece) == 1:
-                single[ord(piece)] = i
+                single[ord(piece.replace(SPACE, " "))] = i
         ids_by_rank = np.array([found[p][0] for p in ranks(found)], np.int32)
         kept: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
-            part, number, checks, count, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
+            part, count, ids, size, data = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            order, start = np.lexsort((number, part)), np.cumsum(count) - count
+            order, start, at = np.argsort(part, kind="stable"), np.cumsum(count) - count, np.cumsum(size) - size
             edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
             parts, blobs, zip_ = [], [], zstandard.ZstdCompressor(level=3)
             for a, b in pairwise(edges):
                 own = order[a:b]
-                n = count[own]
-                take = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 parts.append(int(part[own[0]]))
-                blobs.append(zip_.compress(b"".join((np.array([len(own)], "<u4").tobytes(), np.diff(number[own], prepend=0).astype("<u4").tobytes(), checks[own].astype("<u2").tobytes(), n.astype("<u2").tobytes(), ids[take].astype("<u4").tobytes()))))
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "words"])
+                blobs.append(zip_.compress(b"".join((np.array([len(own), size[own].sum()], "<u4").tobytes(), size[own].astype(np.uint8).tobytes(), count[own].astype(np.uint8).tobytes(), gathered(data, at[own], size[own]).tobytes(), gathered(ids, start[own], count[own]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))))
+            return pa.RecordBatch.from_arrays([pa.array([p // FOLDER for p in parts], pa.int32()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["folder", "part", "words"])
 
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column(2).to_pylist()
-            spans = pc.fill_null(batch.column(3), pa.scalar([], pa.list_(pa.int64())))
+            own = batch.column(1)
+            spans = pc.fill_null(batch.column(2), pa.scalar([], pa.list_(pa.int64())))
             ids, count = compose(own, spans, single, ids_by_rank, byte)
-            kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array([check(w) for w in own]), count, ids))
+            kept.append((batch.column(0).to_numpy(), count, ids, pc.binary_length(own).to_numpy(), np.frombuffer(b"".join(own.cast(pa.binary()).to_pylist()), np.uint8)))
             size += len(own)
             if size >= PACK:
                 yield packed()
@@ -272,47 +277,65 @@ def _pack(path: str):
 
 
 class Encoder:
-    """Ids of whole texts, in the order in which a task meets them, from the words that came back to it."""
+    """Ids of whole texts from the words that came back to a task; it holds them in arrays, not as objects."""
 
-    def __init__(self, path: str, blobs: list[bytes]):
+    def __init__(self, path: str, blobs: Iterable[bytes] = ()):
         self.found, self.decoded, self.byte = pieces(path)
-        self.order = Numbering(unproven(path))
-        numbers, checks, counts, ids = [], [], [], []
+        sizes, counts, data, ids = [], [], [], []
         for blob in map(zstandard.ZstdDecompressor().decompress, blobs):
-            n = int(np.frombuffer(blob, "<u4", 1)[0])
-            numbers.append(np.cumsum(np.frombuffer(blob, "<u4", n, 4), dtype=np.int64))
-            checks.append(np.frombuffer(blob, "<u2", n, 4 + 4 * n))
-            counts.append(np.frombuffer(blob, "<u2", n, 4 + 6 * n).astype(np.int64))
-            ids.append(np.frombuffer(blob, "<u4", -1, 4 + 8 * n))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        number, self.ids_of, count = join(numbers, np.int64), join(ids, np.uint32), join(counts, np.int64)
-        total = int(number.max()) + 1 if len(number) else 0
-        self.begin, self.end, self.checks = np.zeros(total, np.int64), np.zeros(total, np.int64), np.full(total, -1, np.int64)
-        self.end[number] = np.cumsum(count)
-        self.begin[number] = np.cumsum(count) - count
-        self.checks[number] = join(checks, np.uint16)
-        self.known: dict[str, bytes] = self.order.known
-
-    def word(self, word: str) -> bytes:
-        """A word met for the first time: its ids that came back, else (one character, too long or unproven) by merging."""
-        number = self.order.add(word)
-        if 0 <= number < len(self.checks) and self.checks[number] == check(word):
-            ids = self.ids_of[self.begin[number] : self.end[number]].tobytes()
-        else:
-            ids = b"".join(self.piece(word[i:j]) for i, j in merge(word, self.found))
-        self.known[word] = ids
+            n, length = np.frombuffer(blob, "<u4", 2).tolist()
+            sizes.append(np.frombuffer(blob, np.uint8, n, 8))
+            counts.append(np.frombuffer(blob, np.uint8, n, 8 + n))
+            data.append(blob[8 + 2 * n : 8 + 2 * n + length])
+            ids.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, -1, 8 + 2 * n + length).reshape(4, -1).T).view("<u4").ravel())
+        size = np.concatenate([[0], *sizes]).astype(np.int64)
+        self.words = pa.LargeStringArray.from_buffers(len(size) - 1, pa.py_buffer(np.cumsum(size)), pa.py_buffer(b"".join(data)))
+        self.ids_of = np.concatenate([*ids, np.zeros(0, "<u4")]).astype("<u4")
+        self.count = np.concatenate([*counts, np.zeros(0, np.uint8)]).astype(np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        lengths = np.array([len(d) for d in self.decoded], np.int64)
+        self.bytes_at, self.bytes_n, self.bytes_of = np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(self.decoded), np.uint8)
+        self.slow: dict[str, list[int]] = {}
+
+    def piece(self, text: str) -> list[int]:
+        return [self.found[text][0]] if text in self.found else [self.byte + b for b in text.encode("utf-8", "replace")]
+
+    def merged(self, word: str) -> list[int]:
+        """Ids of a word that didn't come back (one character, too long or unproven), by merging; short ones are kept."""
+        if word in self.slow:
+            return self.slow[word]
+        own = word.replace(" ", SPACE)
+        ids = [k for i, j in merge(own, self.found) for k in self.piece(own[i:j])]
+        if len(word) <= LONGEST and len(self.slow) < 100_000:
+            self.slow[word] = ids
         return ids
 
-    def piece(self, text: str) -> bytes:
-        own = [self.found[text][0]] if text in self.found else [self.byte + b for b in text.encode("utf-8", "replace")]
-        return np.array(own, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """All ids of a whole text as little-endian unsigned 32-bit integers."""
-        get = self.known.get
-        ids = b"".join([get(w) or self.word(w) for w in words(text)])
-        self.order.end()
-        return ids
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each, if decoding them gives the text)"""
+        words, words_of = cut(column)
+        coded = words.dictionary_encode()
+        distinct, index = coded.dictionary, coded.indices.to_numpy()
+        at = pc.index_in(distinct, value_set=self.words)
+        rest = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        own = [self.merged(w) for w in distinct.take(pa.array(rest)).to_pylist()]
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        count = self.count[place] if len(self.count) else np.zeros(len(place), np.int64)
+        begin = self.begin[place] if len(self.count) else np.zeros(len(place), np.int64)
+        count[rest] = [len(x) for x in own]
+        begin[rest] = len(self.ids_of) + np.cumsum(count[rest]) - count[rest]
+        ids_of = np.concatenate([self.ids_of, np.array([i for x in own for i in x], "<u4")])
+        # each word is decoded once: a text makes the round trip if its words do
+        ids = gathered(ids_of, begin, count)
+        text = gathered(self.bytes_of, self.bytes_at[ids], self.bytes_n[ids])
+        size = np.add.reduceat(np.append(self.bytes_n[ids], 0), np.cumsum(count) - count) if len(count) else count
+        good = size == pc.binary_length(distinct).to_numpy()
+        if not good.all() or text.tobytes() != b"".join(distinct.cast(pa.large_binary()).to_pylist()):
+            ends = np.cumsum(size)
+            good = np.array([text[e - n : e].tobytes() == w for e, n, w in zip(ends.tolist(), size.tolist(), distinct.cast(pa.large_binary()).to_pylist(), strict=True)], bool)
+        ends = np.concatenate([[0], np.cumsum(words_of)])
+        total, bad = np.concatenate([[0], np.cumsum(count[index])]), np.concatenate([[0], np.cumsum(~good[index])])
+        own_mark = pc.fill_null(pc.match_substring(column, SPACE), False).to_numpy(zero_copy_only=False)
+        return gathered(ids_of, begin[index], count[index]), np.diff(total[ends]), (np.diff(bad[ends]) == 0) & ~own_mark
 
 
 def decode_ids(ids: bytes, decoded: list[bytes]) -> str:
@@ -324,34 +347,37 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """Per row: id, ``n_pieces``, ``ids`` (little-endian unsigned 32-bit integers) and ``round_trip`` (decoding gives the text).
 
     The ids are those of the library for the whole text, without begin or end tokens. Null and
-    empty texts have none and make the round trip. ``docs`` is scanned twice, and words are sent
-    back to the number of the task that met them, so it should be a stored table; where a word's check
-    doesn't fit, the task merges it by itself. Ids may be null or repeat, each row gives a row, other
-    columns are ignored, and an empty table gives an empty result.
+    empty texts have none and make the round trip. ``docs`` is scanned twice and should be a stored
+    table: words go back to the number of the task that met them, and any that a task then lacks
+    it merges by itself. Texts are taken whole whatever their length; a task holds about SLICE
+    bytes of them, or one longer text, at once. Ids may be null or repeat, each row gives a row,
+    other columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "pieces")
     found = pieces(model_path)[0]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sent = rows.select("text").mapInArrow(_send(unproven(model_path)), "part int, number int, word string").filter("word is not null").repartition("word")
+    sent = rows.select("text").mapInArrow(_send(unproven(model_path)), "part int, word string").filter("word is not null").repartition("word")
     # the distinct words keep a column of their own so that both sides read the same exchange
-    distinct = sent.groupBy("word").agg(F.min("part").alias("any"), F.min("number").alias("least"))
-    spans = lattice(distinct.filter("any >= 0 and least >= 0").select("word"), found)
-    back = sent.join(spans, "word", "left").select("part", "number", "word", "spans").mapInArrow(_pack(model_path), "part int, words binary")
-    back.repartition("part").write.partitionBy("part").option("compression", "none").parquet(folder)
+    distinct = sent.groupBy("word").agg(F.min("part").alias("any"))
+    spans = lattice(distinct.filter("any >= 0").select("word"), found)
+    back = sent.join(spans.hint("shuffle_hash"), "word", "left").select("part", "word", "spans").mapInArrow(_pack(model_path), "folder int, part int, words binary")
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(LISTS)):
+        back.repartition("part").write.partitionBy("folder").option("compression", "none").option("parquet.block.size", 1 << 20).parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        at, blobs = f"{base}/part={TaskContext.get().partitionId()}", []
+        part, blobs = TaskContext.get().partitionId(), []
+        at = f"{base}/folder={part // FOLDER}"
         if fs.get_file_info(at).type == pafs.FileType.Directory:
-            blobs = ds.dataset(at, filesystem=fs, format="parquet").to_table(columns=["words"])["words"].to_pylist()
+            blobs = ds.dataset(at, filesystem=fs, format="parquet").to_table(columns=["words"], filter=ds.field("part") == part)["words"].to_pylist()
         encoder = Encoder(model_path, blobs)
         del blobs
-        for batch in slices(batches, 500):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [encoder.ids(t) for t in texts]
-            same = [decode_ids(i, encoder.decoded) == t for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same)], ["id", "n_pieces", "ids", "round_trip"])
+        for batch in pieces_of(batches):
+            ids, count, same = encoder.encode(batch.column(1))
+            offsets = np.concatenate([[0], np.cumsum(count * 4)]).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), packed, pa.array(same)], ["id", "n_pieces", "ids", "round_trip"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_pieces long, ids binary, round_trip boolean"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

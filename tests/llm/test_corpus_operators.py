@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -323,9 +324,19 @@ def test_sentencepiece(spark, rows, tmp_path):
     assert got == sorted(((i, np.array(model.encode(t or ""), "<u4").tobytes(), len(model.encode(t or ""))) for i, t in rows), key=str)
     back = {(r.doc_id, r.text) for r in lattice.decode(encoded, PIECES).collect()}
     assert back == {(i, model.decode(model.encode(t or ""))) for i, t in rows}
+    trips = sorted(((r.doc_id, r.round_trip) for r in encoded.collect()), key=str)
+    assert trips == sorted(((i, model.decode(model.encode(t or "")) == (t or "")) for i, t in rows), key=str)
     assert lattice.encode(docs.limit(0), PIECES).count() == 0
 
 
+def test_sentencepiece_without_returned_words():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["the thing  with", None, "", " a\n\nb ", "日本 é", "\n", "▁x y", "z" * 70]
+    ids, count, same = lattice.Encoder(PIECES).encode(pa.array(texts, pa.string()))
+    assert [list(x) for x in np.split(ids, np.cumsum(count)[:-1])] == [model.encode(t or "") for t in texts]
+    assert same.tolist() == [model.decode(model.encode(t or "")) == (t or "") for t in texts]
+
+
 def test_fold_equals_merging():
     found = lattice.pieces(PIECES)[0]
     assert lattice.unproven(PIECES) == ["▁" * 16]
