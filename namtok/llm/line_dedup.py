@@ -1,13 +1,14 @@
 """Operator 6: near-duplicate lines by a segment-partition edit join.
 
-A line counts if it has LEAST characters without the white space around it. Lines are ordered by
+Lines are taken without the white space around them; empty ones don't count. They are ordered by
 their first place in the corpus (document id, null last, then line number). All places of a line
-but its first are removed, and its first too if an earlier line lies within EDITS edits of it.
+but its first are removed, and its first too if an earlier line lies within ``edits`` (2) edits of
+it. Lines of fewer than LEAST characters, of which two edits would change too much, have to be equal.
 
-Of two lines within EDITS edits, the shorter, cut into EDITS + 1 segments, has one that lies
+Of two lines within ``edits`` edits, the shorter, cut into edits + 1 segments, has one that lies
 unchanged in the other, and close to its own place. So every line sends the hash of (length,
 segment number, segment) for its own segments and of the few substrings that could equal a
-segment of a line of its length or up to EDITS less. Hashes meet in packed arrays, one for each
+segment of a line of its length or up to two less. Hashes meet in packed arrays, one for each
 task and bucket, not as rows; only lines that share a hash with another line are joined to their
 texts and verified by a banded bit-parallel edit distance.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,11 @@ EDITS, LEAST = 2, 20
 SPACE = " \t\r\x0b\x0c"
 #: Lines that one verification holds; larger groups become blocks that meet in pairs.
 BLOCK = 1000
-#: Distinct lines that a task gathers before it sends them on.
-GATHER = 100_000
+#: Distinct lines that a task gathers before it sends them on, and their characters.
+GATHER, CHARACTERS = 100_000, 1 << 25
+#: Characters that are hashed at once, and those of a line that is hashed by slices instead.
+CHUNK, LONG = 1 << 19, 1 << 15
+BASE = 0x9E3779B97F4A7C15
 
 
 def segments(n: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -43,36 +48,102 @@ def segments(n: int, edits: int = EDITS) -> list[tuple[int, int]]:
     return [(sum(lengths[:i]), length) for i, length in enumerate(lengths)]
 
 
-def keys(line: str, edits: int = EDITS) -> tuple[list[int], list[int]]:
-    """Hashes of a line's own segments, and of its substrings that can be a segment of a line no longer than it."""
-    n, digest = len(line), xxhash.xxh3_64_intdigest
-    own = [digest(f"{n} {i} {line[p : p + k]}") for i, (p, k) in enumerate(segments(n, edits))]
-    probes = []
-    for length in range(max(n - edits, edits + 1), n + 1):
-        more = n - length
-        for i, (p, k) in enumerate(segments(length, edits)):
-            low = max(0, p - i, p + more - (edits - i))
-            high = min(n - k, p + i, p + more + (edits - i))
-            probes += [digest(f"{length} {i} {line[at : at + k]}") for at in range(low, high + 1)]
-    return own, probes
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE modulo 2^64 and of its inverse."""
+    steps = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        factors = np.full(CHUNK + LONG + 1, base, np.uint64)
+        factors[0] = 1
+        steps.append(np.cumprod(factors, dtype=np.uint64))
+    return steps[0], steps[1]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _places(n: np.ndarray, edits: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(side, length, segment, place, size, if it counts) of what lines of these lengths send: 1 own segments, 0 substrings."""
+    for more in range(edits + 1):
+        length = n - more
+        short, longer = length // (edits + 1), length % (edits + 1)
+        for i in range(edits + 1):
+            size = short + (i > edits - longer)
+            p = i * short + np.maximum(0, i - (edits + 1 - longer))
+            if not more:
+                yield 1, length, i, p, size, n > 0
+            low = np.maximum(0, np.maximum(p - i, p + more - (edits - i)))
+            high = np.minimum(n - size, np.minimum(p + i, p + more + (edits - i)))
+            for shift in range(2 * edits + 1):
+                yield 0, length, i, low + shift, size, (low + shift <= high) & (length > edits)
+
+
+def keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line's number, side) of the lines' own segments (1) and of their substrings (0) that can be a segment of a line no longer."""
+    n = np.array([len(x) for x in lines], np.int64)
+    found = []
+
+    def add(which: np.ndarray, digest) -> None:
+        for side, length, i, at, size, good in _places(n[which], edits):
+            own = np.flatnonzero(good)
+            if len(own):
+                tag = _mixed((length[own] * 64 + i).astype(np.uint64) * np.uint64(BASE))
+                found.append((_mixed(digest(own, length[own], at[own], size[own]) ^ tag), which[own], np.full(len(own), side, np.uint8)))
+
+    power, inverse = _powers()
+    ends = np.cumsum(n * (n <= LONG))
+    chunk = ends // CHUNK
+    for k in np.unique(chunk[n <= LONG]):
+        which = np.flatnonzero((chunk == k) & (n <= LONG))
+        codes = _codes("".join([lines[j] for j in which.tolist()]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * inverse[: len(codes)], dtype=np.uint64)])
+        first = np.cumsum(n[which]) - n[which]
+        add(which, lambda own, length, at, size: (sums[first[own] + at + size] - sums[first[own] + at]) * power[first[own] + at])  # noqa: B023
+    for j in np.flatnonzero(n > LONG).tolist():
+
+        def sliced(own, length, at, size, line=lines[j]) -> np.ndarray:
+            part = line[at[0] : at[0] + size[0]]
+            return np.array([xxhash.xxh3_64_intdigest(part) if length[0] > LONG else int((_codes(part) * inverse[: len(part)]).sum(dtype=np.uint64))], np.uint64)
+
+        add(np.array([j]), sliced)
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    key, line, side = (np.concatenate(x) for x in zip(*found, strict=True))
+    return key, line, side
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
     """If two strings are within so many edits.
 
-    The states of a row of the edit matrix within the band of 2 * edits + 1 diagonals are the bits
-    of an integer for each number of edits; a row costs a few operations on these, and the rows
-    end when no state is left.
+    What both begin and end with is cut off. The states of a row of the edit matrix within the band
+    of 2 * edits + 1 diagonals are the bits of an integer for each number of edits; a row costs a
+    few operations on these, and the rows end when no state is left.
     """
     n, m = len(a), len(b)
     if abs(n - m) > edits:
         return False
-    band, places = (1 << (2 * edits + 1)) - 1, {}
-    for j, c in enumerate(b):
-        places[c] = places.get(c, 0) | 1 << (j + edits)
+    if a == b:
+        return True
+    shared = _same(a, b, min(n, m))
+    a, b = a[shared:], b[shared:]
+    if shared := _same(a[::-1], b[::-1], min(len(a), len(b))):
+        a, b = a[:-shared], b[:-shared]
+    n, m = len(a), len(b)
+    if max(n, m) <= edits:
+        return True
+    band = (1 << (2 * edits + 1)) - 1
     states = [((2 << e) - 1) << edits & band for e in range(edits + 1)]
     for i, c in enumerate(a):
-        equal = places.get(c, 0) >> i & band
+        equal = 0
+        for j in range(max(0, i - edits), min(m, i + edits + 1)):
+            if b[j] == c:
+                equal |= 1 << (j - i + edits)
         inside = (1 << max(0, m - i + edits)) - 1 & band  # diagonals that don't leave b
         before, new = 0, []
         for e, state in enumerate(states):
@@ -87,16 +158,30 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     return bool(states[edits] >> (m - n + edits) & 1)
 
 
+def _same(a: str, b: str, n: int) -> int:
+    """Characters that both begin with, of n at most."""
+    low, step = 0, 8
+    while low < n:
+        if a[low : low + step] == b[low : low + step]:
+            low, step = low + step, step * 2
+        elif step == 1:
+            return low
+        else:
+            step = max(1, step // 4)
+    return n
+
+
 def _lines(text: str | None) -> Iterator[tuple[int, str]]:
     for i, line in enumerate((text or "").split("\n")):
         line = line.strip(SPACE)
-        if len(line) >= LEAST:
+        if line:
             yield i, line
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) to rows of a task's distinct lines with their first place and count."""
     found: dict[str, list] = {}
+    size = 0
 
     def packed() -> pa.RecordBatch:
         raw = [line.encode() for line in found]
@@ -115,25 +200,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     old[0], old[1] = min(old[0], place), old[1] + 1
                 else:
                     found[line] = [place, 1]
-            if len(found) >= GATHER:
+                    size += len(line)
+            if len(found) >= GATHER or size >= CHARACTERS:
                 yield packed()
+                size = 0
     yield packed()
 
 
-def _hashes(buckets: int):
+def _hashes(buckets: int, edits: int):
     """Rows (handle, line) to rows (bucket, data): a task's keys of that bucket, sorted, with handles and sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            all_keys, counts, sides = [], [], []
-            for line in batch.column(1).to_pylist():
-                own, probes = keys(line)
-                all_keys += own + probes
-                counts.append(len(own) + len(probes))
-                sides += [1] * len(own) + [0] * len(probes)
-            key, side = np.array(all_keys, np.uint64), np.array(sides, np.uint8)
-            handle = np.repeat(batch.column(0).to_numpy(), counts)
+            key, owner, side = keys(batch.column(1).to_pylist(), edits)
+            handle = batch.column(0).to_numpy()[owner]
             bucket = (key >> np.uint64(32)) % np.uint64(buckets)
             key = key.astype(np.uint32)
             order = np.lexsort((key, bucket))
@@ -179,21 +260,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.concatenate([begin, [len(key)]]))
         useful = (size > 1) & (np.add.reduceat(own, begin, dtype=np.int64) > 0) & (np.add.reduceat(probe, begin, dtype=np.int64) > 0)
         size_of, keep = np.repeat(size, size), np.repeat(useful, size)
-        groups, handles, sides = [], [], []
         small = keep & (size_of <= BLOCK)
-        groups.append(np.char.add(f"{now}:", key[small].astype(str)))
-        handles.append(handle[small])
-        sides.append(own[small] + 2 * probe[small])
+        yield of(np.char.add(f"{now}:", key[small].astype(str)), handle[small], own[small] + 2 * probe[small])
         for b, n in zip(begin[useful & (size > BLOCK)], size[useful & (size > BLOCK)], strict=True):
             blocks = -(-int(n) // (BLOCK // 2))
             block = np.arange(n) % blocks
             for i in range(blocks):
                 for j in range(i + 1, blocks):  # two lines of a block meet wherever their block does
                     chosen = b + np.flatnonzero((block == i) | (block == j))
-                    groups.append(np.full(len(chosen), f"{now}:{key[b]}:{i}:{j}"))
-                    handles.append(handle[chosen])
-                    sides.append(own[chosen] + 2 * probe[chosen])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g.astype(object) for g in groups]), pa.string()), pa.array(np.concatenate(handles)), pa.array(np.concatenate(sides).astype(np.int8))], ["group", "handle", "side"])
+                    yield of(np.full(len(chosen), f"{now}:{key[b]}:{i}:{j}"), handle[chosen], own[chosen] + 2 * probe[chosen])
+
+    def of(group: np.ndarray, handle: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(group.astype(object), pa.string()), pa.array(handle), pa.array(side.astype(np.int8))], ["group", "handle", "side"])
 
     for batch in batches:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -204,22 +282,42 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(edits: int):
     """Rows (group, hash, line, side) in order of group and place: hashes of lines with an earlier near line in their group."""
-    now, earlier = None, []
-    for batch in batches:
-        gone = set()
-        for group, line_hash, line, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group != now:
-                now, earlier = group, []
-            # an own segment (1) meets a substring (2)
-            if line_hash not in gone and any((side & 1 and old & 2 or side & 2 and old & 1) and within(line, text) for old, text in earlier):
-                gone.add(line_hash)
-            earlier.append((side, line))
-        yield pa.RecordBatch.from_pydict({"line_hash": pa.array(sorted(gone), pa.binary())})
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, earlier, gone = None, [], set()
+        for batch in batches:
+            new = set()
+            for group, line_hash, line, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now:
+                    now, earlier = group, []
+                # an own segment (1) meets a substring (2); the latest lines are often the nearest
+                if line_hash not in gone and any((side & 1 and old & 2 or side & 2 and old & 1) and within(line, text, edits) for old, text in reversed(earlier)):
+                    new.add(line_hash)
+                    gone.add(line_hash)
+                earlier.append((side, line))
+            if len(gone) > 1 << 20:
+                gone.clear()
+            yield pa.RecordBatch.from_pydict({"line_hash": pa.array(sorted(new), pa.binary())})
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to a row (id, text_hash, number, line_hash) for each line."""
+    for batch in slices(batches):
+        ids, hashes, numbers, digests = [], [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = list(_lines(text))
+            ids += [doc] * len(own)
+            hashes += [xxhash.xxh64_intdigest(text, 42)] * len(own)
+            numbers += [i for i, _ in own]
+            digests += [hashlib.md5(line.encode()).digest() for _, line in own]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).astype(np.int64)), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], ["id", "text_hash", "number", "line_hash"])
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(id, text_hash, removed): the numbers of the lines to remove, from 0, of every row that loses any.
 
     Rows with equal id and text have one entry. ``text_hash`` is the text's xxhash64.
@@ -232,19 +330,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines.write.bucketBy(n, "handle").option("compression", "zstd").saveAsTable(name)
     try:
         lines = spark.table(name)
-        hashes = lines.select("handle", "line").mapInArrow(_hashes(n), "bucket int, data binary")
+        near = lines.filter(F.length("line") >= max(least, edits + 1))
+        hashes = near.select("handle", "line").mapInArrow(_hashes(n, edits), "bucket int, data binary")
         groups = hashes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "group string, handle long, side byte")
-        members = groups.join(lines.select("handle", "line_hash", "line", "first"), "handle")
+        members = groups.join(near.select("handle", "line_hash", "line", "first"), "handle")
         members = members.repartition("group").sortWithinPartitions("group", "first", "line_hash").select("group", "line_hash", "line", "side")
-        gone = materialize(members.mapInArrow(_verify, "line_hash binary").distinct(), "lines-gone")
+        gone = materialize(members.mapInArrow(_verify(edits), "line_hash binary").distinct(), "lines-gone")
         marked = lines.select("line_hash", "first", "n").join(gone.withColumn("gone", F.lit(True)), "line_hash", "left").filter("n > 1 or gone")
         marked = materialize(marked, "lines-marked")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     drop(gone)
-    places = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    places = places.withColumn("line", F.btrim("line", F.lit(SPACE))).filter(F.length("line") >= LEAST)
-    places = places.select("id", "text_hash", "number", F.unhex(F.md5("line")).alias("line_hash"))
+    places = rows.mapInArrow(_spread, "id long, text_hash long, number int, line_hash binary")
     total = marked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     place: Column = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("number"))
     lost = join_unique(places, marked, "line_hash", "n", total).filter(F.col("gone") | (place != F.col("first")))
@@ -254,7 +351,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows with removed lines taken out of their texts.
 
-    Lines of under LEAST characters stay, as do null and empty texts; a text may become empty. Of
+    Empty lines stay, as do null and empty texts; a text may become empty. Texts and lines are taken
+    whole whatever their length. Of
     repeated rows (equal id and text) each keeps the same lines. Other columns stay, whatever their
     names but the four that start with ``__line``. An empty table gives an empty result.
     """
@@ -271,7 +369,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, the lines that go, and their numbers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lost = materialize(removed_lines(docs), "lines-lost")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     rows = rows.join(lost.withColumnRenamed("id", "doc_id"), ["doc_id", "text_hash"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))

@@ -70,7 +70,7 @@ def distance(a, b):
 
 def dedup_lines(rows, edits=2, least=20):
     def lines(text):
-        return [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate((text or "").split("\n")) if len(x.strip(" \t\r\x0b\x0c")) >= least]
+        return [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]
 
     first = {}
     for doc, text in rows:
@@ -79,7 +79,7 @@ def dedup_lines(rows, edits=2, least=20):
             first[line] = min(first.get(line, place), place)
     order, gone = sorted(first, key=first.get), set()
     for k, line in enumerate(order):
-        if any(abs(len(line) - len(x)) <= edits and distance(line, x) <= edits for x in order[:k]):
+        if len(line) >= least and any(len(x) >= least and abs(len(line) - len(x)) <= edits and distance(line, x) <= edits for x in order[:k]):
             gone.add(line)
     out = []
     for doc, text in rows:

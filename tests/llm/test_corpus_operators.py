@@ -157,7 +157,27 @@ def test_edit_distance_and_keys():
         assert line_dedup.within(a, b) == near
         if near and min(len(a), len(b)) >= 3:
             longer, shorter = sorted((a, b), key=len, reverse=True)
-            assert set(line_dedup.keys(longer)[1]) & set(line_dedup.keys(shorter)[0])
+            key, line, side = line_dedup.keys([longer, shorter])
+            assert set(key[(line == 0) & (side == 0)]) & set(key[(line == 1) & (side == 1)])
+
+
+def test_keys_of_long_lines_and_chunks(monkeypatch):
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abcdé日", k=rng.randint(3, 90))) for _ in range(200)]
+    whole = line_dedup.keys(lines)
+    want = [sorted(whole[0][whole[1] == i].tolist()) for i in range(len(lines))]
+    monkeypatch.setattr(line_dedup, "CHUNK", 150)
+    line_dedup._powers.cache_clear()
+    key, line, _ = line_dedup.keys(lines)
+    assert [sorted(key[line == i].tolist()) for i in range(len(lines))] == want
+    monkeypatch.setattr(line_dedup, "LONG", 40)  # lines about the limit still meet
+    for a in lines:
+        b = changed(rng, a, 2)
+        if min(len(a), len(b)) >= 3:
+            longer, shorter = sorted((a, b), key=len, reverse=True)
+            key, line, side = line_dedup.keys([longer, shorter])
+            assert set(key[(line == 0) & (side == 0)]) & set(key[(line == 1) & (side == 1)])
+    line_dedup._powers.cache_clear()
 
 
 @pytest.mark.parametrize("block", [1000, 6])
@@ -166,7 +186,7 @@ def test_line_dedup(spark, rows, monkeypatch, block):
     rng = random.Random(5)
     base = ["".join(rng.choices("abc de", k=rng.randint(20, 60))) for _ in range(12)]
     rows = rows + [(500 + i, "\n".join(f" {changed(rng, rng.choice(base), rng.randint(0, 4))}\t" for _ in range(rng.randint(1, 5)))) for i in range(60)]
-    rows += [(None, base[0] + "\nshort"), (702, base[1]), (702, base[1])]
+    rows += [(None, base[0] + "\nshort"), (702, base[1]), (702, base[1]), (703, "short\n\n shirt \n"), (704, "short\n" + "long " * 60), (705, "long " * 59 + "lung")]
     out = line_dedup.dedup_lines(table(spark, rows))
     assert out.columns == ["doc_id", "text", "id", "key"]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == plain.dedup_lines(rows)
