@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm.common import setting, shared_dir, table
+from namtok.llm.common import gathered, setting, shared_dir, table
 
 SPACE = "▁"
 MARK = SPACE.encode()
@@ -229,11 +229,6 @@ def compose(own: pa.Array, spans: pa.ListArray, single: np.ndarray, ids_by_rank:
     return ids, np.bincount(word, minlength=len(own))
 
 
-def gathered(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The runs of values that begin at these places and have these lengths, one after the other."""
-    return values[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-
-
 def _pack(path: str):
     """Rows (part, word, spans) to rows (folder, part, words): for each part its words from this task with their ids, packed."""
 

@@ -58,6 +58,17 @@ def repeats(rows, window=400):
     return sorted(out, key=str)
 
 
+def passages(rows, window=51):
+    """(doc, words in passages of so many words that start anywhere else too)"""
+    texts = [(doc, re.findall(r"[^\x20\x09-\x0D]+", text or "")) for doc, text in rows]
+    count = Counter(tuple(t[p : p + window]) for _, t in texts for p in range(len(t) - window + 1))
+    out = []
+    for doc, t in texts:
+        held = {i for p in range(len(t) - window + 1) if count[tuple(t[p : p + window])] > 1 for i in range(p, p + window)}
+        out.append((doc, len(held)))
+    return sorted(out, key=str)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -112,6 +112,22 @@ def test_repeats(spark, rows, monkeypatch, neighbours):
     got = exact_substrings.remove_repeats(table(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == plain.repeats(rows)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
+    assert sorted(((r.doc_id, r.n_passage_words) for r in got), key=str) == plain.passages(rows)
+
+
+@pytest.mark.parametrize("neighbours", [24, 1])
+def test_passages_of_over_fifty_words(spark, rows, monkeypatch, neighbours):
+    monkeypatch.setattr(exact_substrings, "NEIGHBOURS", neighbours)
+    rng = random.Random(13)
+    base = rng.choices([f"w{k}" for k in range(40)], k=600)
+    for i in range(90):
+        at, n = rng.randrange(500), rng.randint(46, 80)
+        rows = [*rows, (5000 + i, "\n ".join([f"u{i}", *base[at : at + n], f"v{i}"]) if i % 2 else prose(rng, 9) + " " + " ".join(base[at : at + n]))]
+    rows = [*rows, (5200, "x " * 50), (5201, "x " * 51), (5202, "y " * 60), (5203, "z " * 51), (5203, " z" * 51)]
+    got = exact_substrings.remove_repeats(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_passage_words) for r in got), key=str) == plain.passages(rows)
+    assert any(r.n_passage_words and not r.n_removed for r in got)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == plain.repeats(rows)
 
 
 def test_anchors_across_pieces(monkeypatch):
