@@ -43,7 +43,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
         else:
             return None
         return pixels[:, :, :3].mean(axis=2) if pixels.shape[2] >= 3 else pixels[:, :, 0].astype(float)
-    except (ValueError, IndexError, struct.error, zlib.error):
+    except (ValueError, TypeError, IndexError, struct.error, zlib.error):
         return None
 
 
@@ -61,7 +61,8 @@ def _png(data: bytes) -> np.ndarray | None:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or interlaced or channels is None:
         return None
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * channels)
+    size = height * (1 + width * channels)
+    raw = np.frombuffer(zlib.decompressobj().decompress(body, size), np.uint8).reshape(height, 1 + width * channels)  # no more than the header says
     out = np.zeros((height, width, channels), np.uint8)
     for y in range(height):
         line, above = raw[y, 1:].reshape(width, channels).astype(int), out[y - 1].astype(int) if y else np.zeros((width, channels), int)

@@ -1,19 +1,22 @@
 """Operator 8: cropped or edited copies of images in a media column, by local descriptors.
 
-Equal bytes are one image. Of each image the workers describe the strongest multiscale corners
-(``images.describe``). Two corners match if their descriptors differ in BITS bits at most and agree
-in one of TABLES keys of 16 bits, which differences under TABLES bits always do. A pair of images
-with VOTES matches or more is a copy if one similarity explains VOTES of them. Copies are reported
-by class.
+Equal bytes are one image. Of each image the workers describe the strongest multiscale corners of
+every tile (``images.describe``). Two corners match if their descriptors of 256 bits differ in BITS
+bits at most. A pair of images is a copy if one similarity explains VOTES of its matches. Copies
+are reported by class.
 
 Links are found in two rounds. First, corners that agree in one of WORDS keys of 64 bits meet the
-NEXT in order and the first, which joins most copies without all pairs. Then all corners with
-a key in common meet unless their images are of one class already, so classes are those of all
-pairs. Keys with over BLOCK corners are dealt into blocks, and every two blocks meet.
+NEXT in order and the first, which joins most copies without all pairs. Then corners of images that
+aren't of one class yet meet in Hamming tables: a table's key is a window of the descriptor, as long
+as the number of corners asks for, and there are as many tables as find RECALL of the corners in
+which every tenth bit differs (``layout``). Two images with MEET corners that agree in a key, and
+differ in FIRST of the descriptor's first 64 bits at most, are candidates; all their corners are
+then compared, and the matches put to the geometric test.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,9 @@ from namtok.llm import images
 from namtok.llm.common import join_unique, materialize, rows_per_batch, table
 from namtok.llm.components import connected_components
 
-TABLES, WORDS, BITS, VOTES, NEXT, BLOCK = 16, 4, 48, 6, 4, 4096
+WORDS, BITS, VOTES, NEXT = 4, 48, 6, 4
+#: Of the tables: least bits of a key, share of corners with a tenth of their bits changed that they find, corners that must meet, and bits of the first 64 in which these may differ.
+LEAST_BITS, RECALL, MEET, FIRST = 16, 0.9, 3, 16
 #: Media that are sent to Python at once.
 MEDIA_ROWS = 500
 
@@ -77,10 +82,43 @@ def _pairs(matches: DataFrame) -> DataFrame:
     return matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).filter(F.size("m") >= VOTES).mapInArrow(_consensus, "a long, b long")
 
 
+def layout(corners: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each table's window of a descriptor, for so many corners."""
+    bits = min(40, max(LEAST_BITS, math.ceil(math.log2(corners + 1))))
+    tables = max(16, math.ceil(math.log(1 - RECALL) / math.log(1 - 0.9**bits)))
+    return [(images.TESTS * t // tables, bits) for t in range(tables)]
+
+
+def _window(first: int, bits: int) -> Column:
+    """Bits of the descriptor w0 … w3 from the first on, in a ring."""
+    word, shift = divmod(first, 64)
+    high = F.shiftleft(f"w{word}", shift)
+    if shift:
+        high = high.bitwiseOR(F.shiftrightunsigned(f"w{(word + 1) % WORDS}", 64 - shift))
+    return F.shiftrightunsigned(high, 64 - bits)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, places and keys of each) to the pairs that are copies, by all their corners."""
+    for batch in batches:
+        kept = []
+        for a, b, p, k, q, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = (np.array(v, np.int64).reshape(-1, WORDS) for v in (k, m))
+            pairs = []
+            for at in range(0, len(x), 256):  # bounds memory for images of many corners
+                differ = np.bitwise_count(x[at : at + 256, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(differ <= BITS)
+                pairs.append((i + at, j))
+            i, j = (np.concatenate(v) for v in zip(*pairs, strict=True))
+            if len(i) >= VOTES and images.inliers(np.hstack([unpack(np.array(p, np.int64)[i]), unpack(np.array(q, np.int64)[j])])) >= VOTES:
+                kept.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], ["a", "b"])
+
+
 def linked(features: DataFrame) -> DataFrame:
     """Rows (node, places, keys) to links (a, b) that give the components of all pairs that are copies."""
     words = [F.get("keys", F.col("i") * WORDS + k).alias(f"w{k}") for k in range(WORDS)]
-    corners = features.select("node", "keys", F.posexplode("places").alias("i", "p")).select("node", "p", *words)
+    corners = features.select("node", "keys", F.posexplode("places").alias("i", "p")).select("node", "i", "p", *words)
     entries = corners.select("node", "p", F.posexplode(F.array(*[f"w{k}" for k in range(WORDS)])).alias("table", "key"))
     window = Window.partitionBy("table", "key").orderBy("node", "p")
     other = F.struct(F.col("node").alias("b"), F.col("p").alias("q"))
@@ -89,19 +127,19 @@ def linked(features: DataFrame) -> DataFrame:
     first = materialize(_pairs(matches.filter("a <> b")), "media-near")
     labels = connected_components(first, "media-near-links")
 
-    pieces = F.array(*[F.shiftrightunsigned(f"w{t // 4}", 48 - 16 * (t % 4)).bitwiseAND(F.lit(0xFFFF)) + F.lit(t << 16) for t in range(TABLES)])
-    corners = corners.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entries = corners.select("node", "root", "p", *[f"w{k}" for k in range(WORDS)], F.explode(pieces).alias("key"))
-    hot = entries.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
-    entries = entries.join(F.broadcast(hot), "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int"))
-    entries = entries.withColumn("own", F.pmod(F.xxhash64("node", "p"), "blocks").cast("int")).drop("size")
-    left = entries.select("*", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other")).select("key", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"l_{c}") for c in entries.columns if c not in ("key", "own", "blocks")])
-    right = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other")).select("key", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"r_{c}") for c in entries.columns if c not in ("key", "own", "blocks")])
-    differ = [F.col(f"l_w{k}").bitwiseXOR(F.col(f"r_w{k}")) for k in range(WORDS)]
-    near = sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0])) <= BITS
-    apart = (F.col("l_root") != F.col("r_root")) & ((F.col("i") < F.col("j")) | (F.col("l_node") < F.col("r_node")))
-    matches = left.join(right, ["key", "i", "j"]).filter(apart & near)
-    second = _pairs(matches.select(F.col("l_node").alias("a"), F.col("l_p").alias("p"), F.col("r_node").alias("b"), F.col("r_p").alias("q")))
+    number = features.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    windows = F.array(*[_window(at, bits) + F.lit(t << bits) for t, (at, bits) in enumerate(layout(number))])
+    rooted = corners.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = rooted.select("node", "root", "i", "w0", F.explode(windows).alias("key"))
+    # both sides are the same exchange; a key of many corners is split by the adaptive skew join
+    left, right = (entries.select(*[F.col(c).alias(f"{side}_{c}") for c in entries.columns]) for side in "ab")
+    met = left.join(right, F.col("a_key") == F.col("b_key"))
+    met = met.filter((F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node")) & (F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))) <= FIRST))
+    pair = F.shiftleft(F.col("a_i").cast("long"), 32).bitwiseOR(F.col("b_i").cast("long"))
+    candidates = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.size(F.collect_set(pair)).alias("n")).filter(F.col("n") >= MEET)
+    candidates = materialize(candidates.select("a", "b"), "media-candidates")
+    one, two = (features.select(F.col("node").alias(x), F.col("places").alias(f"{x}_places"), F.col("keys").alias(f"{x}_keys")) for x in "ab")
+    second = candidates.join(one, "a").join(two, "b").select("a", "b", "a_places", "a_keys", "b_places", "b_keys").mapInArrow(_compared, "a long, b long")
     return first.unionByName(second)
 
 
@@ -109,7 +147,7 @@ def copies(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """Per row: id, ``class_id`` (the least id of its class) and ``n_features`` of its image.
 
     Null, empty or undecodable media have no features; such rows are a class with those of equal
-    bytes only. Rows with a null id belong to a class but never name it. Other columns are ignored
+    bytes only. Media are decoded whole whatever their size. Rows with a null id belong to a class but never name it. Other columns are ignored
     and an empty table gives an empty result.
     """
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(media_col), F.lit(b"")).alias("media")).withColumn("digest", F.unhex(F.sha2("media", 256)))
@@ -166,7 +204,7 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 media = [render(v, k) for v, k in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(media, pa.binary())], ["id", "media"])
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col), (F.crc32(F.col(id_col).cast("string")) % variants).cast("int").alias("variant"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col), F.coalesce((F.crc32(F.col(id_col).cast("string")) % variants).cast("int"), F.lit(0)).alias("variant"))
     return rows.mapInArrow(draw, "id long, media binary").withColumnRenamed("id", id_col)
 
 

@@ -266,15 +266,15 @@ def test_images():
     assert len(places) == images.FEATURES
     for variant in range(1, 8):
         other, other_bits = images.describe(images.decode(media_copies.render([1.0] * 64, variant)))
-        matches = [[*p, *q] for p, x in zip(places, bits, strict=True) for q, y in zip(other, other_bits, strict=True) if (x.reshape(media_copies.TABLES, -1) == y.reshape(media_copies.TABLES, -1)).all(axis=1).any()]
+        matches = [[*p, *q] for p, x in zip(places, bits, strict=True) for q, y in zip(other, other_bits, strict=True) if np.bitwise_count(x ^ y).sum() <= media_copies.BITS]
         assert images.inliers(np.array(matches)) >= media_copies.VOTES
     assert images.decode(b"nonsense") is None and images.decode(None) is None and images.decode(b"P5 9") is None
 
 
 def agreeing(a, b):
-    """Corners of two images that the tables match and one similarity explains."""
+    """Corners of two images that match and that one similarity explains."""
     (places, bits), (other, other_bits) = images.describe(a), images.describe(b)
-    same = (bits.reshape(len(bits), 1, media_copies.TABLES, -1) == other_bits.reshape(1, len(other_bits), media_copies.TABLES, -1)).all(axis=3).any(axis=2)
+    same = np.bitwise_count(bits[:, None, :] ^ other_bits[None, :, :]).sum(axis=2) <= media_copies.BITS
     return images.inliers(np.array([[*places[i], *other[j]] for i, j in np.argwhere(same)]).reshape(-1, 8))
 
 
@@ -338,6 +338,19 @@ def test_media_edits(spark):
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def test_layout_of_tables(spark):
+    for corners in (0, 100, 1 << 20, 1 << 36):
+        tables = media_copies.layout(corners)
+        bits = tables[0][1]
+        assert 2**bits >= min(corners, 2**40) and 1 - (1 - 0.9**bits) ** len(tables) >= media_copies.RECALL
+    rng = np.random.default_rng(3)
+    words = rng.integers(-(2**63), 2**63, 4, np.int64)
+    row = spark.createDataFrame([tuple(map(int, words))], "w0 long, w1 long, w2 long, w3 long")
+    ring = "".join(f"{int(w) % 2**64:064b}" for w in words) * 2
+    for first, bits in ((0, 16), (50, 16), (64, 21), (230, 40), (255, 33)):
+        assert row.select(media_copies._window(first, bits)).first()[0] == int(ring[first : first + bits], 2)
+
+
 def test_media_query_has_copies(spark, tmp_path):
     folder = str(tmp_path)
     spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 120").write.parquet(f"{folder}/embeddings.parquet")
