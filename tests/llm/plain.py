@@ -41,6 +41,23 @@ def simhash(rows):
     return sorted(((doc, f"{p:016x}", least[r]) for (doc, _), p, r in zip(rows, prints, roots, strict=True)), key=str)
 
 
+def shingle_set(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar_groups(rows, least=0.8):
+    """{(id, text): if it is the first of its group}, over distinct rows; ids may not be null."""
+    rows = sorted({(i, t or "") for i, t in rows})
+    sets = [shingle_set(t) for _, t in rows]
+    roots = components(len(rows), lambda i, j: similar(sets[i], sets[j]) >= least - 1e-9)
+    return {row: roots[k] == k for k, row in enumerate(rows)}
+
+
 def repeats(rows, window=400):
     count = Counter()
     texts = [(doc, (text or "").encode()) for doc, text in rows]

@@ -1,5 +1,10 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from namtok.llm import language_id
+from namtok.llm import language_id, similar
 from tests.llm import plain
 
 
@@ -15,8 +20,8 @@ def test_pipeline(spark, tmp_path):
     kept = [(r.doc_id, r.text) for r in language_id.predict(docs, model).filter("lang_pred <> 'und' and score >= 0.5").collect()]
     assert not {9001, 9002, 9003} & {i for i, _ in kept}
     kept = plain.dedup_lines(kept)
-    stay = {i for i, _, component in plain.simhash(kept) if i == component}
-    kept = [(i, t) for i, t in kept if i in stay]
+    stay = plain.similar_groups(kept)
+    kept = [(i, t) for i, t in kept if stay[i, t]]
     leaks = plain.leaks(kept, items)
     want = {i for i, _ in kept if not leaks[i]}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -24,6 +29,52 @@ def test_pipeline(spark, tmp_path):
     assert all(r.round_trip for r in got)
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """Ids repeat with other texts; copies of a base are like it, but often not like each other."""
+    rng = random.Random(21)
+    rows = [(1, ""), (2, None), (3, " \n"), (4, "one two"), (5, "One  two"), (6, "one three")]
+    for k in range(60):
+        base = rng.choices([f"w{i}" for i in range(300)], k=rng.randint(12, 250))
+        for _ in range(rng.choice([1, 2, 5, 12])):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(999)}"
+            rows.append((rng.randrange(100, 400), " ".join(words)))
+    rows += rows[:40]
+    docs = spark.createDataFrame([(i, t, "k", i) for i, t in rows], "doc_id long, text string, first string, id long")
+    want = plain.similar_groups(rows)
+    found = similar.groups(docs).collect()
+    got = {(r.id, r.text_hash): r.first for r in found}
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    assert len(found) == len(got) == len({(i, t or "") for i, t in rows})
+    wrong = [k for k, first in want.items() if got[k[0], hashes[k[1]]] != first]
+    # a document that is only just similar may be missed, an unlike one never goes
+    assert not [k for k in wrong if want[k]] and len(wrong) <= 0.04 * sum(not first for first in want.values())
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == sum(r.first for r in found)
+
+
+def test_near_duplicates_with_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (None, "quite another text stands here now"), (7, "a b c d e f")], "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(out, key=str) == [(7, "a b c d e f"), (None, "quite another text stands here now")]
+
+
+def test_large_group_of_near_copies_in_one_tree():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 16, np.uint8)
+    values = np.array([base ^ np.packbits(rng.random(128) < 0.05) for _ in range(600)] + [rng.integers(0, 256, 16, np.uint8) for _ in range(50)]).view(np.uint64)
+    tree = similar.Tree(values)
+    links = []
+    for i in range(len(values)):
+        links += [(i, j) for j in tree.join(i, 30, 9)]
+        tree.insert(i)
+    near = lambda i, j: int(np.bitwise_count(values[i] ^ values[j]).sum()) <= 30
+    assert all(near(i, j) for i, j in links) and len(links) <= similar.NEAREST * len(values)
+    roots = plain.components(len(values), near)
+    assert len({tree.root(i) for i in range(len(values))}) == len(set(roots))
+
+
 def test_stages_keep_columns_and_stand_empty_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
