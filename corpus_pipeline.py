@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namtok.llm import decontaminate, language_id, line_dedup, sentencepiece, simhash
+from namtok.llm import decontaminate, language_id, line_dedup, sentencepiece, similar
 from namtok.llm.common import materialize, table
 from namtok.shipping import ship
 
@@ -32,11 +32,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of documents with similar shingles of five words (0.8 or more), the one with the least id."""
+    found = similar.groups(docs.select("doc_id", "text"))
+    stay = found.filter("first").select(F.col("id").alias("__id"), F.col("text_hash").alias("__text"))
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__hash"] == stay["__text"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
