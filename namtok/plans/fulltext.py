@@ -8,6 +8,7 @@ that; a document's positions of the query's lexemes are all that a task holds.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,6 +21,8 @@ from namtok.sources.lexicons import Lexicons
 
 # Token types of the parser, by number, and the weights of positions D to A.
 TOKEN_TYPES = ["Thai", "Latin", "Number", "Punctuation", "Emoji", "Unknown", "Named"]
+#: Bytes of a lexeme.
+LONGEST = 127
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
 
 
@@ -65,6 +68,12 @@ def script_fts_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.join(F.broadcast(stops), "text", "left").withColumn("is_stop", F.coalesce("is_stop", F.lit(False)))
 
 
+def cut_lexeme(word: Column) -> Column:
+    """The longest prefix of whole characters in LONGEST bytes."""
+    head = F.make_valid_utf8(F.substring(word.cast("binary"), 1, LONGEST).cast("string"))
+    return F.when(F.octet_length(word) > LONGEST, F.regexp_replace(head, "\ufffd+$", "")).otherwise(word)
+
+
 def postings(tokens: DataFrame, config: AnalyzerConfig | None = None, id_col: str = "doc_id", weight: str = "D", mode: str = "index") -> DataFrame:
     """(id, lexeme, pos, weight, head) of full-text tokens.
 
@@ -88,7 +97,7 @@ def postings(tokens: DataFrame, config: AnalyzerConfig | None = None, id_col: st
         tag = F.concat(F.lit("pos_" if postgres else "pos"), F.lower("pos"))
         more = F.concat(more, F.when(F.col("pos").isNotNull() & ~low, F.array(tag)).otherwise(F.array().cast("array<string>")))
     every = F.array_distinct(F.concat(F.array(head), more))
-    cut = F.transform(every, lambda x: F.when(F.octet_length(x) > 127, F.substring(x, 1, 42)).otherwise(x)) if postgres else every
+    cut = F.transform(every, cut_lexeme) if postgres else every
     return rows.select(id_col, F.explode(cut).alias("lexeme"), F.col("place").cast("int").alias("pos"), F.lit(weight).alias("weight"), head.alias("head"))
 
 
@@ -129,22 +138,51 @@ class Op:
     parts: tuple
 
 
+#: A query without a term, which matches nothing.
+NOTHING = Op("and", ())
+
+
 def lexemes_of(query) -> list[str]:
     return [query.lexeme] if isinstance(query, Term) else sorted({x for p in query.parts for x in lexemes_of(p)})
 
 
 def query_terms(text: str) -> list[str]:
     """Lexemes of a query's words by script: Latin lower-cased, punctuation dropped."""
-    return [w.lower() for w in re.findall(r"[A-Za-z]+|[0-9]+|[฀-๿]+|[^\sA-Za-z0-9฀-๿!-/:-@\[-`{-~]+", text)]
+    return [w.lower().encode()[:LONGEST].decode(errors="ignore") for w in re.findall(r"[A-Za-z]+|[0-9]+|[฀-๿]+|[^\sA-Za-z0-9฀-๿!-/:-@\[-`{-~]+", text)]
+
+
+def query_analyzer(spark: SparkSession, lexicons: Lexicons, config: AnalyzerConfig | None = None) -> Callable[[str], list]:
+    """For ``analyze``: a query's terms by the analysis that documents get, without stop words.
+
+    Lexemes that one token gives stand at one place; in a query they are all required (postgres)
+    or one of them is (sqlite). Each different text is analysed once, by a job over one row.
+    """
+    config, known = config or AnalyzerConfig(), {}
+    kind = "and" if config.dialect == "postgres" else "or"
+
+    def analyze(text: str) -> list:
+        if text not in known:
+            tokens = fts_tokens(spark.createDataFrame([(0, text)], "doc_id int, text string"), lexicons, config)
+            places: dict[int, list[str]] = {}
+            for r in sorted(postings(tokens, config, mode="query").select("pos", "lexeme").collect()):
+                places.setdefault(r.pos, []).append(r.lexeme)
+            known[text] = [x[0] if len(x) == 1 else Op(kind, tuple(Term(t) for t in x)) for x in places.values()]
+        return known[text]
+
+    return analyze
+
+
+def _terms(text: str, analyze) -> tuple:
+    return tuple(Term(t) if isinstance(t, str) else t for t in analyze(text))
 
 
 def plainto_tsquery(text: str, analyze=query_terms):
-    terms = [Term(t) for t in analyze(text)]
+    terms = _terms(text, analyze)
     return terms[0] if len(terms) == 1 else Op("and", tuple(terms))
 
 
 def phraseto_tsquery(text: str, analyze=query_terms):
-    terms = [Term(t) for t in analyze(text)]
+    terms = _terms(text, analyze)
     return terms[0] if len(terms) == 1 else Op("phrase", tuple(terms))
 
 
@@ -177,7 +215,8 @@ def to_tsquery(text: str, analyze=query_terms):
         while peek() == sign:
             at += 1
             parts.append(below())
-        return parts[0] if len(parts) == 1 else Op(kind, tuple(parts))
+        parts = [p for p in parts if p != NOTHING]  # stop words leave the query
+        return NOTHING if not parts else parts[0] if len(parts) == 1 else Op(kind, tuple(parts))
 
     def atom():
         nonlocal at
@@ -186,7 +225,8 @@ def to_tsquery(text: str, analyze=query_terms):
             raise ValueError(f"no operand at {at} of {text!r}")
         at += 1
         if token == "!":
-            return Op("not", (atom(),))
+            inner = atom()
+            return inner if inner == NOTHING else Op("not", (inner,))
         if token == "(":
             inner = either()
             if peek() != ")":
@@ -228,6 +268,8 @@ def matched(index: DataFrame, query, id_col: str = "doc_id", docs: DataFrame | N
             return column[q.lexeme]
         if q.kind == "phrase":
             return reduce(lambda a, p: F.filter(ends(p), lambda x: F.array_contains(a, x - 1)), q.parts[1:], ends(q.parts[0]))
+        if q.kind == "and":  # lexemes of one token
+            return reduce(F.array_intersect, [ends(p) for p in q.parts])
         if q.kind == "or":
             return reduce(F.array_union, [ends(p) for p in q.parts])
         raise ValueError(f"{q.kind} inside a phrase")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from namtok.functions.text import clusters
 from namtok.operators import annotate, evaluate, keywords, romanize, segmentation, spelling
@@ -109,6 +110,39 @@ def test_keywords(spark, lex):
     assert {"ปลา ข้าว", "ปลา ปลา ข้าว"} <= phrases
 
 
+def test_analysed_queries(spark):
+    words = ["กินข้าว", "กับ", "ปลา", "หมู", "กุ้ง", "ต้มยำกุ้ง", "ข้าวผัด", "ผัดไทย", "แกงเขียวหวาน", "ข้าวมันไก่", "ต้มข่า", "ไก่", "ยำวุ้นเส้น", "ข้าวหน้าเป็ด", "แกงส้ม"]
+    lex = lexicons.builtin(spark)
+    table = spark.createDataFrame([(w, 10) for w in words], "word string, freq bigint")
+    own = lexicons.Lexicons(table, lex.stopwords, lex.synonyms, lex.romanization, lex.names, lex.pos, {})
+    names = ["ข้าวผัดกุ้ง", "ต้มยำกุ้ง", "ผัดไทย", "แกงเขียวหวาน", "ข้าวมันไก่", "ต้มข่าไก่", "ยำวุ้นเส้น", "ข้าวหน้าเป็ด", "กินข้าวกับปลา", "แกงส้มปลา"]
+    index = fulltext.tsvector(spark.createDataFrame(list(enumerate(names, 1)), "doc_id int, text string"), own).cache()
+    analyze = fulltext.query_analyzer(spark, own)
+    ids = lambda q: sorted(r.doc_id for r in fulltext.search(index, q).collect())
+    for text, want in (("กุ้ง", [1]), ("ปลา", [9, 10]), ("ไก่", [6]), ("หมู", []), ("กินข้าวกับปลา", [9]), ("กับ ปลา", [9, 10]), ("กับ", [])):
+        assert ids(fulltext.plainto_tsquery(text, analyze)) == want, text
+    assert ids(fulltext.phraseto_tsquery("กินข้าวกับปลา", analyze)) == [9]
+    assert ids(fulltext.phraseto_tsquery("ปลากินข้าว", analyze)) == []
+    assert ids(fulltext.to_tsquery("กินข้าว & ปลา", analyze)) == [9] and ids(fulltext.to_tsquery("กินข้าว & หมู", analyze)) == []
+    assert ids(fulltext.to_tsquery("กับ & (กุ้ง | !กับ)", analyze)) == [1]
+    assert ids(fulltext.websearch_to_tsquery("ปลา -กินข้าว", analyze)) == [10]
+    index.unpersist()
+
+
+def test_colocated_query_terms():
+    both = lambda kind: fulltext.Op(kind, (fulltext.Term("a"), fulltext.Term("b")))
+    assert fulltext.plainto_tsquery("x", lambda t: [both("and")]) == both("and")
+    assert fulltext.plainto_tsquery("x y", lambda t: ["c", both("or")]) == fulltext.Op("and", (fulltext.Term("c"), both("or")))
+
+
+def test_lexemes_of_127_bytes(spark):
+    texts = ["x" * 130, "ก" * 50, "ก" * 42, "y" * 126 + "ก"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(fulltext.cut_lexeme(F.col("t")).alias("c")).collect()
+    want = ["x" * 127, "ก" * 42, "ก" * 42, "y" * 126]
+    assert [r.c for r in rows] == want
+    assert fulltext.query_terms(texts[0]) == [want[0]] and fulltext.query_terms(texts[1]) == [want[1]]
+
+
 def test_queries(spark, lex):
     df = spark.createDataFrame([(1, "กินข้าวกับปลา cat dog"), (2, "ปลา Dog bird"), (3, "หมู cat, bird"), (4, "!")], "doc_id int, text string")
     index = fulltext.tsvector(df, lex)
