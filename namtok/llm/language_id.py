@@ -143,8 +143,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def held_out(id_col: str = "doc_id"):
-    """Documents that no model learns from: crc32 of the id as text, mod 4, is 2."""
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """Documents that no model learns from: crc32 of the id as text, mod 4, is 2; a null id isn't held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
