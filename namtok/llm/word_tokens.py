@@ -24,8 +24,8 @@ SIMPLE = re.compile("[!-~¡-ÿ]+")
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
-#: Entries in one generation of a cache; a worker holds two generations of two caches at most.
-CACHE = 400_000
+#: Entries in one generation of a cache, and the longest key it keeps; a worker holds two generations of two caches at most.
+CACHE, LONGEST_KEY = 400_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,12 +50,14 @@ def whole_tokens(tokenizer: Tokenizer, suffix: str = "</w>") -> dict[str, int]:
 
 
 class Cache(dict):
-    """A dict that computes what it lacks and keeps the last one to two times ``limit`` entries."""
+    """A dict that computes what it lacks and keeps the last one to two times ``limit`` entries with keys of up to ``LONGEST_KEY``."""
 
     def __init__(self, compute, limit: int = CACHE):
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
