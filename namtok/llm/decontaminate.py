@@ -122,11 +122,17 @@ class Index:
                     at += 1
                 c[:2] = own[at] if at < len(own) else end, at
             on = [c for c in cursors[: pivot + 1] if c[0] == item]
-            if sum(self.postings[t][2][at // BLOCK] for _, at, t in on) >= least and sum(self.postings[t][1][at] for _, at, t in on) >= least:
+            past = item + 1
+            if sum(self.postings[t][2][at // BLOCK] for _, at, t in on) < least:  # so no item of these blocks alone can score enough
+                ends = [self.postings[t][0][min(at | (BLOCK - 1), len(self.postings[t][0]) - 1)] + 1 for _, at, t in on]
+                past = min(ends + [c[0] for c in cursors if c[0] != item])
+            elif sum(self.postings[t][1][at] for _, at, t in on) >= least:
                 if sum(w for t, w in self.weights[item].items() if t in terms) >= least:
                     found.append(item)
             for c in on:
                 own, at = self.postings[c[2]][0], c[1] + 1
+                while at < len(own) and own[at] < past:
+                    at += 1
                 c[:2] = own[at] if at < len(own) else end, at
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
@@ -150,7 +156,19 @@ class Index:
                 share = [len(p & sets[size]) / len(p) if p else 0.0 for p in parts]
                 if share[0] >= self.overlap - 1e-9:
                     best[item_id] = max(best.get(item_id, (0.0, 0.0, 0.0)), tuple(share))
-        return sorted((i, *share) for i, share in best.items())
+        return sorted(((i, *share) for i, share in best.items()), key=lambda x: _by_id(x[0]))
+
+
+def _by_id(item_id: int | None) -> tuple[bool, int]:
+    return item_id is None, item_id or 0
+
+
+def _merged(matches: list[dict]) -> list[dict]:
+    """The best match of each item id, by id, null last."""
+    best = {}
+    for m in sorted(matches, key=lambda m: (m["overlap"], m["question_overlap"], m["answer_overlap"])):
+        best[m["item_id"]] = m
+    return [best[i] for i in sorted(best, key=_by_id)]
 
 
 def _absent() -> Iterator[int]:
@@ -171,27 +189,28 @@ def longest_item(benchmark: DataFrame, text_col: str = "text") -> int:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", overlap: float = OVERLAP) -> DataFrame:
     """The input's columns but a clashing one, and ``matches``: the items that contaminate each row, by item id.
 
-    The benchmark's size is checked: item texts of more than INDEX_BYTES are dealt by id into
-    several indexes, and every document meets each in turn, in the same stage and without a
-    shuffle. Null and empty texts have no match, items without a word match nothing, an empty
+    The benchmark's size is checked: item texts of more than INDEX_BYTES are dealt by id and
+    text into several indexes, repeated items once, and every document meets each in turn, in the
+    same stage and without a shuffle. Texts of any length are read whole. Null and empty texts have no match, items without a word match nothing, an empty
     benchmark leaves every ``matches`` empty, and repeated rows or items each count (a repeated
     item id gives its best match).
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     shards, longest = max(1, math.ceil(size / INDEX_BYTES)), longest_item(items, "t")
     out = docs.drop("matches").withColumn("matches", F.lit(None).cast(MATCHES))
     at = out.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for shard in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).collect()
+        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard).collect()
         shared = docs.sparkSession.sparkContext.broadcast(Index([(r.i, r.t) for r in rows], longest, overlap))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in slices(batches):
                 old = batch.column(batch.num_columns - 1)
-                found = [sorted((m or []) + [dict(zip(("item_id", "overlap", "question_overlap", "answer_overlap"), x, strict=True)) for x in index.matches(t)], key=lambda x: x["item_id"]) for m, t in zip(old.to_pylist(), batch.column(at).to_pylist(), strict=True)]
+                names = ("item_id", "overlap", "question_overlap", "answer_overlap")
+                found = [_merged((m or []) + [dict(zip(names, x, strict=True)) for x in index.matches(t)]) for m, t in zip(old.to_pylist(), batch.column(at).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, old.type)], batch.schema.names)
 
         out = out.mapInArrow(match, schema)
