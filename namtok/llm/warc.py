@@ -6,9 +6,13 @@
 - ``header.<Name>``: an exact value that this header must have;
 - ``payload``: ``false`` leaves ``payload`` null.
 
-Filters ``col("record_type") == …`` or ``isin(…)``, and the same on ``target_uri``, are offered to the reader, which takes those on the type and the target. A record's headers are
-parsed first; the block of a record that isn't wanted is skipped by seeking
-in plain files and by discarding in gzip members, and is never decoded.
+Filters ``col("record_type") == …`` or ``isin(…)``, and the same on ``target_uri``, ``date`` and ``content_type``, are taken by
+the reader. A record's headers are parsed first; the block of a record that isn't wanted is skipped by seeking, in plain files
+and in gzip members whose header tells their length (the ``sl`` field that the writer sets), and is never inflated or decoded.
+Other gzip members have to be inflated to find their end.
+
+What isn't a whole record (no ``WARC/`` line, a bad or too large ``Content-Length``, a truncated member) gives a row of the
+type ``malformed`` with the file and offset, and reading goes on at the next member or line that begins a record.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +37,13 @@ from namtok.llm.common import join_unique, materialize, shared_dir, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, content_length long, payload_digest string, refers_to string, headers map<string,string>, payload binary, file string, offset long"
 #: Columns that equal a header's value as it stands.
-COLUMNS = {"record_type": "WARC-Type", "target_uri": "WARC-Target-URI"}
+COLUMNS = {"record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type"}
+#: Type of the rows that tell of what isn't a whole record.
+MALFORMED = "malformed"
 #: Bytes after which the writer begins a further file, and bytes read at once.
 FILE_BYTES, READ = 1 << 27, 1 << 20
+#: Bytes of a gzip member that are read and inflated at once until its headers are whole.
+HEAD = 4096
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -45,30 +55,140 @@ class _File(InputPartition):
         self.uri = uri
 
 
-def records(uri: str, wanted: dict[str, set[str]], payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
-    """(offset, headers, block or None) of the records in a file whose headers have a wanted value each."""
-    fs, path = _open(uri)
-    raw = io.BufferedReader(fs.open_input_file(path), READ)
-    f = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines)
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+
+def _length(headers: dict[str, str]) -> int | None:
+    """The block's length; None if it isn't a number."""
+    text = headers.get("content-length", "0")
+    return int(text) if re.fullmatch("[0-9]+", text) else None
+
+
+def packed(record: bytes) -> bytes:
+    """A record as a gzip member that tells its length, compressed and not, in its header's ``sl`` field."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    number = lambda *n: b"".join(x.to_bytes(4, "little") for x in n)
+    head = b"\x1f\x8b\x08\x04" + number(0) + b"\0\xff" + b"\x0c\0" + b"sl\x08\0"
+    return head + number(len(head) + 16 + len(body), len(record)) + body + number(zlib.crc32(record), len(record))
+
+
+def _member_bytes(raw: io.BufferedReader, start: int) -> int | None:
+    """Length of the gzip member that begins here, if its header tells it."""
+    raw.seek(start)
+    head = raw.read(12)
+    if len(head) < 12 or head[:2] != b"\x1f\x8b" or not head[3] & 4:
+        return None
+    extra = raw.read(int.from_bytes(head[10:], "little"))
+    while len(extra) >= 4:
+        size = int.from_bytes(extra[2:4], "little")
+        if extra[:2] == b"sl" and size == 8 and len(extra) >= 12:
+            return int.from_bytes(extra[4:8], "little") or None
+        extra = extra[4 + size :]
+    return None
+
+
+def _member(raw: io.BufferedReader, start: int, size: int, wanted, payload: bool) -> tuple[dict[str, str], bytes | None] | None:
+    """Headers and block of one member's record; None if it isn't wanted. ValueError if it isn't whole."""
+    raw.seek(start)
+    inflate, data, rest, left = zlib.decompressobj(31), b"", b"", size
+    while not (blank := re.search(rb"\r?\n\r?\n", data)):
+        if not rest:
+            rest = raw.read(min(left, HEAD))
+            left -= len(rest)
+            if not rest:
+                raise ValueError("headers without an end")
+        data = (data + inflate.decompress(rest, HEAD)).lstrip(b"\r\n")
+        rest = inflate.unconsumed_tail
+    first, *lines = data[: blank.start()].splitlines()
+    headers = _headers(lines)
+    length = _length(headers)
+    if not first.startswith(b"WARC/") or length is None:
+        raise ValueError("no record")
+    if not wanted(headers):
+        return None
+    if not payload:
+        return headers, None
+    data = data[blank.end() :] + inflate.decompress(rest + raw.read(left))
+    if len(data) < length or not inflate.eof:
+        raise ValueError("truncated")
+    return headers, data[:length]
+
+
+def _stream(f, wanted, payload: bool, size: int | None) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+    """The records of a plain file (of so many bytes) or of what gzip members inflate to, one after the other."""
+    bad = {"warc-type": MALFORMED}
+    lost = False  # if what comes is already told of as malformed
     while True:
         offset = f.tell()
-        line = f.readline()
-        while line in (b"\r\n", b"\n"):
-            offset = f.tell()
-            line = f.readline()
-        if not line:
+        try:
+            line = f.readline(READ)
+            if not line:
+                return
+            if line in (b"\r\n", b"\n"):
+                continue
+            if not line.startswith(b"WARC/"):
+                if not lost and wanted(bad):
+                    yield offset, bad, None
+                lost = True
+                continue
+            lines = []
+            while (line := f.readline()).rstrip(b"\r\n"):
+                lines.append(line.rstrip(b"\r\n"))
+            headers = _headers(lines)
+            length = _length(headers)
+            whole = bool(line) and length is not None and (size is None or f.tell() + length <= size)
+            lost = not whole
+            if not whole:
+                if wanted(bad):
+                    yield offset, bad, None
+            elif not wanted(headers):
+                f.seek(length, 1)
+            else:
+                block = f.read(length) if payload else None
+                if block is None:
+                    f.seek(length, 1)
+                elif len(block) < length:
+                    raise EOFError
+                yield offset, headers, block
+        except (EOFError, zlib.error, gzip.BadGzipFile):
+            if wanted(bad):
+                yield offset, bad, None
+            return
+
+
+def records(uri: str, wanted: dict[str, set[str]], payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+    """(offset, headers, block or None) of the records in a file whose headers have a wanted value each.
+
+    The offset is the member's in the file where gzip members tell their length, else the record's in what they inflate to.
+    """
+    fs, path = _open(uri)
+    with fs.open_input_file(path) as file:
+        size = file.size()
+        raw = io.BufferedReader(file, READ)
+        match = lambda headers: all(headers.get(name.lower()) in values for name, values in wanted.items())
+        if not path.endswith(".gz"):
+            yield from _stream(raw, match, payload, size)
             return
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"{uri}: no WARC record at {offset}")
-        headers: dict[str, str] = {}
-        while (line := f.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        length = int(headers.get("content-length", "0"))
-        if all(headers.get(name.lower()) in values for name, values in wanted.items()):
-            yield offset, headers, f.read(length) if payload else f.seek(length, 1) and None
-        else:
-            f.seek(length, 1)
+        at = 0
+        while at < size:
+            n = _member_bytes(raw, at)
+            if n is None:  # from here on the members don't tell
+                raw.seek(at)
+                yield from _stream(gzip.GzipFile(fileobj=raw), match, payload, None)
+                return
+            try:
+                found = _member(raw, at, n, match, payload)
+                if at + n > size:
+                    raise ValueError("truncated")
+            except (ValueError, zlib.error):
+                bad = {"warc-type": MALFORMED}
+                found = (bad, None) if match(bad) else None
+            if found:
+                yield at, *found
+            at += n
 
 
 def http_body(block: bytes) -> bytes:
@@ -91,7 +211,7 @@ class WarcReader(DataSourceReader):
             if name is None:
                 yield f
                 continue
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) - {None}
             self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
 
     def partitions(self) -> list[InputPartition]:
@@ -108,7 +228,7 @@ class WarcReader(DataSourceReader):
             body = None if block is None else http_body(block) if h.get("warc-type") in ("response", "revisit") else block
             digest, refers = h.get("warc-payload-digest"), h.get("warc-refers-to")
             yield (
-                h.get("warc-record-id", "").strip("<>") or None, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), int(h.get("content-length", "0")),
+                h.get("warc-record-id", "").strip("<>") or None, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), _length(h),
                 digest and digest.partition(":")[2], refers and refers.strip("<>"), h, body, partition.uri, offset,
             )
 
@@ -157,8 +277,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col:
     or more, those with the smallest id are responses and the others are revisits of it; smaller
     payloads are all responses. A null id comes after all others; rows whose payload stands at no
     other id than null are responses. Ids may repeat with other payloads: a revisit's target is the
-    response of its id and its payload's digest. An empty table gives no file. Files are gzip
-    members, one a record, unless ``compress`` is off. Digests are grouped and joined without the
+    response of its id and its payload's digest. An empty table gives no file. Payloads of any length are
+    written whole. Files are gzip members, one a record, unless ``compress`` is off. Digests are grouped and joined without the
     payloads, hot ones by broadcast; rows meet their revisit by id and digest, which are spread evenly.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
@@ -183,7 +303,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col:
                     files.append((attempt, f"{base}/part-{part:06d}-{number:06d}{suffix}"))
                 kind = "response" if first is None else "revisit"
                 record = _record(kind, _id(page_id), uri, base32_sha1(payload), len(payload), payload, None if first is None else _id(first))
-                out.write(gzip.compress(record, 6) if compress else record)
+                out.write(packed(record) if compress else record)
                 n += 1
                 if out.tell() >= FILE_BYTES:
                     out.close()
