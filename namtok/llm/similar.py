@@ -5,15 +5,17 @@ each set if it is set in over half of the shingles' hashes, so the angle between
 sets shows in the share of bits that differ. Fingerprints are dealt to shards by tables of chosen
 bits, as many of them as the number of fingerprints asks for, and as many tables as make two
 documents of just the least similarity meet with a probability of about MEET (``layout``); more
-similar ones meet more surely. Measured on 1,325 made pairs against tables for 250,000 documents:
-0.91 of those of similarity 0.80 to 0.82 meet, 0.96 to 0.85, 0.99 to 0.90 and 0.997 above. In the
-test's groups of copies that are often barely similar, 0.956 of the documents that should go do. Each shard is a BK-tree whose edges carry Hamming distances; a fingerprint
-follows those within the radius and is linked to its nearest entry in every component of the tree,
-or, if that one isn't surely similar, to the nearest two and the one that was nearest to most others
-(what copies were made from, as a rule); it meets others in the other shards.
-
-Links are verified by the exact Jaccard similarity of the shingles: first each document's nearest
-one, then all that still lie between different components. Sets of shingles are hashes of 32 bits.
+similar ones meet more surely. Each shard is a BK-tree whose edges carry Hamming distances, followed within the radius, in two rounds:
+
+1. Every fingerprint is linked to its nearest entry in each tree. The links are verified by the exact
+   Jaccard similarity of the shingles: first each document's nearest one, then all that still lie
+   between different components. This joins most of what belongs together with few links.
+2. The fingerprints that have a neighbour go through the trees again with their component, and every
+   pair within the radius that still lies between different components is verified. So no candidate
+   is dropped: what is missed is only what no table brings together. Where many documents are within
+   the radius of each other without being similar, these pairs grow with the square of their number.
+
+Sets of shingles are hashes of 32 bits.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from namtok.llm.common import drop, materialize, slices
 from namtok.llm.components import connected_components
 
 WORDS, SIMILARITY, BITS, MEET = 5, 0.8, 128, 0.98
-#: Entries that a leaf of a tree holds before it gets children.
-LEAF = 128
+#: Entries that a leaf of a tree holds before it gets children, and unlike fingerprints that a shard should have.
+LEAF, SHARD = 128, 16
 
 
 def differing(similarity: float) -> float:
@@ -46,16 +48,18 @@ def radius(similarity: float) -> int:
     return math.ceil(BITS * q + 2.5 * math.sqrt(BITS * q * (1 - q)))
 
 
-def sure(similarity: float) -> int:
-    """Bits up to which two fingerprints are of at least this similarity, but for some in a hundred."""
-    q = differing(similarity)
-    return max(0, math.floor(BITS * q - 2.5 * math.sqrt(BITS * q * (1 - q))))
-
-
 def layout(n: int, similarity: float) -> np.ndarray:
-    """The bits that each table takes, for n fingerprints."""
-    bits = min(40, max(8, math.ceil(math.log2(n + 1))))
-    tables = math.ceil(math.log(1 - MEET) / math.log(1 - (1 - differing(similarity)) ** bits))
+    """The bits that each table takes, for n fingerprints: shards of SHARD unlike ones, and as many tables as MEET asks for.
+
+    The bits in which two fingerprints differ are taken as binomial: tables for their mean alone would miss those of more.
+    """
+    bits = min(40, max(4, math.ceil(math.log2((n + 1) / SHARD))))
+    q, away = differing(similarity), np.arange(radius(similarity) + 1)
+    share = np.array([math.comb(BITS, k) * q**k * (1 - q) ** (BITS - k) for k in away.tolist()])
+    share, alone = share / share.sum(), 1 - (1 - away / BITS) ** bits
+    tables = 1
+    while share @ alone**tables > 1 - MEET:
+        tables += 1
     rng = np.random.default_rng(2)
     return np.array([np.sort(rng.choice(BITS, bits, replace=False)) for _ in range(tables)])
 
@@ -84,15 +88,10 @@ class Tree:
 
     def __init__(self, values: np.ndarray):
         """``values``: the shard's fingerprints, two unsigned 64-bit integers each."""
-        self.values, self.parent, self.chosen = values, list(range(len(values))), [0] * len(values)
+        self.values = values
         self.top = [None, None, []]  # pivot, children by distance, entries of a leaf
-
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+        for i in range(len(values)):
+            self.insert(i)
 
     def distances(self, i: int, others: list[int]) -> np.ndarray:
         return np.bitwise_count(self.values[others] ^ self.values[i]).sum(axis=1, dtype=np.int64)
@@ -111,32 +110,66 @@ class Tree:
                     children.setdefault(d, [None, None, []])[2].append(j)
                 node[:] = [pivot, children, []]
 
-    def join(self, i: int, within: int, sure: int) -> list[int]:
-        """Of each component with entries within the radius the nearest, and if that isn't sure the next and the most chosen one; all become one."""
-        stack, found = [self.top], {}
+    def nearest(self, i: int, within: int) -> int | None:
+        """The nearest other entry within the radius, of equally near ones the first."""
+        best, stack = (within + 1, -1), [(0, self.top)]
+        while stack:
+            least, (pivot, children, leaf) = stack.pop()
+            if least > best[0]:
+                continue
+            if children is not None:
+                d = int(self.distances(i, [pivot])[0])
+                stack += sorted(((abs(d - k), c) for k, c in children.items() if abs(d - k) <= best[0]), key=lambda x: -x[0])
+            elif leaf:
+                away = self.distances(i, leaf)
+                for at in np.flatnonzero(away <= min(best[0], within)).tolist():
+                    if leaf[at] != i:
+                        best = min(best, (int(away[at]), leaf[at]))
+        return best[1] if best[1] >= 0 else None
+
+    def near(self, i: int, within: int) -> list[int]:
+        """All entries within the radius."""
+        stack, found = [self.top], []
         while stack:
             pivot, children, leaf = stack.pop()
             if children is not None:
                 d = int(self.distances(i, [pivot])[0])
                 stack += [c for k, c in children.items() if d - within <= k <= d + within]
             elif leaf:
-                away = self.distances(i, leaf)
-                for at in np.flatnonzero(away <= within).tolist():
-                    found.setdefault(self.root(leaf[at]), []).append((int(away[at]), leaf[at]))
-        out = []
-        for r, near in found.items():
-            self.parent[r] = i
-            near.sort()
-            nearest = [j for _, j in near[: 1 if near[0][0] <= sure else 2]]
-            self.chosen[nearest[0]] += 1
-            out += nearest
-            if len(nearest) > 1 and (most := max(near[1:], key=lambda x: (self.chosen[x[1]], -x[0]))[1]) not in nearest:
-                out.append(most)
-        return out
+                found += [leaf[at] for at in np.flatnonzero(self.distances(i, leaf) <= within).tolist()]
+        return found
+
+
+def _distances(values: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(values[:, None] ^ values).sum(axis=2, dtype=np.int64)
+
+
+def nearest_links(values: np.ndarray, roots: np.ndarray, within: int) -> list[tuple[int, int]]:
+    """Each entry of a shard and its nearest one, if there is any within the radius."""
+    if len(values) <= LEAF:  # a tree of one leaf
+        away = _distances(values)
+        np.fill_diagonal(away, BITS + 1)
+        first = away.argmin(axis=1)
+        found = np.flatnonzero(away[np.arange(len(values)), first] <= within)
+        return list(zip(found.tolist(), first[found].tolist(), strict=True))
+    tree = Tree(values)
+    return [(i, j) for i in range(len(values)) if (j := tree.nearest(i, within)) is not None]
+
+
+def cross_links(values: np.ndarray, roots: np.ndarray, within: int) -> list[tuple[int, int]]:
+    """All pairs of a shard's entries within the radius that have different roots, each once."""
+    names, own, count = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    if len(values) <= LEAF:
+        return np.argwhere(np.tril((_distances(values) <= within) & (own[:, None] != own))).tolist()
+    tree, most, own = Tree(values), int(np.argmax(count)), own.tolist()
+    # entries of the largest component needn't ask: the others meet them
+    return [(i, j) for i in range(len(values)) if own[i] != most for j in tree.near(i, within) if own[j] == most or (own[j] != own[i] and j < i)]
 
 
 def _keys(tables: np.ndarray):
-    """Rows (print) to rows (shard, print), one for each table."""
+    """Rows (print, root) to rows (shard, print, root), one for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.int64(1) << np.arange(tables.shape[1], dtype=np.int64)
@@ -144,40 +177,38 @@ def _keys(tables: np.ndarray):
             own = batch.column(0).to_pylist()
             bits = np.unpackbits(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1), axis=1)
             for t, chosen in enumerate(tables):
-                yield pa.RecordBatch.from_arrays([pa.array((bits[:, chosen] @ weights) | np.int64(t << 40)), batch.column(0)], ["shard", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array((bits[:, chosen] @ weights) | np.int64(t << 40)), batch.column(0), batch.column(1)], ["shard", "print", "root"])
 
     return run
 
 
-def _links(within: int, sure: int):
-    """Rows (shard, print) in order of shard to links (a, b, distance)."""
+def _links(find, within: int):
+    """Rows (shard, print, root) in order of shard to the links (a, b, distance) that ``find`` gives, each once a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, list[bytes]]] = []
+        held: list[tuple[np.ndarray, list[bytes], np.ndarray]] = []
 
-        def settle(prints: list[bytes]) -> list[tuple[bytes, bytes, int]]:
-            tree, out = Tree(np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)), []
-            for i in range(len(prints)):
-                near = tree.join(i, within, sure)
-                if near:
-                    out += [(prints[i], prints[j], d) for j, d in zip(near, tree.distances(i, near).tolist(), strict=True)]
-                tree.insert(i)
-            return out
+        def settle(prints: list[bytes], roots: np.ndarray) -> list[tuple[bytes, bytes, int]]:
+            values = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+            pairs = np.unique(np.sort(np.array(find(values, roots, within), np.int64).reshape(-1, 2), axis=1), axis=0)
+            away = np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 1]]).sum(axis=1, dtype=np.int64)
+            return [(prints[i], prints[j], d) for (i, j), d in zip(pairs.tolist(), away.tolist(), strict=True)]
 
         def flush(last: bool) -> pa.RecordBatch:
-            shard, prints = np.concatenate([x[0] for x in held]), [p for x in held for p in x[1]]
+            shard, roots = (np.concatenate([x[k] for x in held]) for k in (0, 2))
+            prints = [p for x in held for p in x[1]]
             held.clear()
             edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
             end = len(edges) - 1 if last else len(edges) - 2  # the last shard may go on
-            found = [link for k in np.flatnonzero(np.diff(edges[: end + 1]) > 1) for link in settle(prints[edges[k] : edges[k + 1]])]
+            found = [link for k in np.flatnonzero(np.diff(edges[: end + 1]) > 1) for link in settle(prints[edges[k] : edges[k + 1]], roots[edges[k] : edges[k + 1]])]
             if not last:
-                held.append((shard[edges[end] :], prints[edges[end] :]))
+                held.append((shard[edges[end] :], prints[edges[end] :], roots[edges[end] :]))
             a, b, d = zip(*found, strict=True) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(d, pa.int32())], ["a", "b", "distance"])
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist()))
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()))
                 if held[0][0][0] != held[-1][0][-1]:
                     yield flush(False)
         if held:
@@ -220,12 +251,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     nodes = prints.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")).alias("least"))
     nodes = materialize(nodes.withColumn("node", F.xxhash64("print")), "similar-nodes")
     tables = layout(nodes.count(), similarity)
-    shards = nodes.select("print").mapInArrow(_keys(tables), "shard long, print binary").repartition("shard").sortWithinPartitions("shard", "print")
-    near = shards.mapInArrow(_links(radius(similarity), sure(similarity)), "a binary, b binary, distance int")
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
-    near = materialize(near, "similar-links")
 
-    linked = near.select(F.col("a").alias("print")).unionAll(near.select("b")).distinct()
+    def candidates(members: DataFrame, find) -> DataFrame:
+        """Links (a, b, distance) between rows (print, root) that share a shard, each once."""
+        shards = members.mapInArrow(_keys(tables), "shard long, print binary, root long").repartition("shard").sortWithinPartitions("shard", "print")
+        found = shards.mapInArrow(_links(find, radius(similarity)), "a binary, b binary, distance int")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+
+    near = materialize(candidates(nodes.select("print", F.col("node").alias("root")), nearest_links), "similar-links")
+
+    linked = materialize(near.select(F.col("a").alias("print")).unionAll(near.select("b")).distinct(), "similar-linked")
     sets = materialize(prints.filter("shingles is not null").join(linked, "print", "left_semi").select("print", "shingles").dropDuplicates(["print"]), "similar-sets")
 
     def verified(links: DataFrame) -> DataFrame:
@@ -242,8 +277,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     for side in "ab":
         own = labels.select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root"))
         apart = apart.join(own, F.xxhash64(side) == F.col(f"{side}_node"), "left")
-    links = first.unionAll(verified(apart.filter(root("a") != root("b"))))
-    labels = connected_components(links, "similar-groups")
+    second = materialize(first.unionAll(verified(apart.filter(root("a") != root("b")))), "similar-joined")
+    labels = connected_components(second, "similar-joined-groups")
+    rooted = linked.withColumn("node", F.xxhash64("print")).join(labels, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
+    rest = materialize(candidates(rooted, cross_links).join(near.select("a", "b"), ["a", "b"], "left_anti"), "similar-rest")
+    labels = connected_components(second.unionAll(verified(rest)), "similar-groups")
     named = nodes.join(labels, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     firsts = materialize(named.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "similar-firsts")
     drop(sets)

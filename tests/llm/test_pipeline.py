@@ -48,8 +48,8 @@ def test_near_duplicates_against_all_pairs(spark):
     hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     assert len(found) == len(got) == len({(i, t or "") for i, t in rows})
     wrong = [k for k, first in want.items() if got[k[0], hashes[k[1]]] != first]
-    # candidates are probabilistic: 0.956 of the documents were found when this was written (0.962 with eight links an entry); an unlike one never goes
-    assert not [k for k in wrong if want[k]] and len(wrong) <= 0.05 * sum(not first for first in want.values())
+    # a document that is only just similar may be missed, an unlike one never goes
+    assert not [k for k in wrong if want[k]] and len(wrong) <= 0.02 * sum(not first for first in want.values())
     out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert out.columns == docs.columns and out.count() == sum(r.first for r in found)
 
@@ -60,19 +60,24 @@ def test_near_duplicates_with_null_ids(spark):
     assert sorted(out, key=str) == [(7, "a b c d e f"), (None, "quite another text stands here now")]
 
 
-def test_large_group_of_near_copies_in_one_tree():
+def test_large_group_of_near_copies_in_one_tree(monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 256, 16, np.uint8)
     values = np.array([base ^ np.packbits(rng.random(128) < 0.05) for _ in range(600)] + [rng.integers(0, 256, 16, np.uint8) for _ in range(50)]).view(np.uint64)
-    tree = similar.Tree(values)
-    links = []
-    for i in range(len(values)):
-        links += [(i, j) for j in tree.join(i, 30, 9)]
-        tree.insert(i)
     near = lambda i, j: int(np.bitwise_count(values[i] ^ values[j]).sum()) <= 30
-    assert all(near(i, j) for i, j in links) and len(links) <= 3 * len(values)
-    roots = plain.components(len(values), near)
-    assert len({tree.root(i) for i in range(len(values))}) == len(set(roots))
+    away = lambda i, j: int(np.bitwise_count(values[i] ^ values[j]).sum())
+    links = similar.nearest_links(values, np.arange(len(values)), 30)
+    assert dict(links) == {i: j for i in range(len(values)) if near(i, j := min((k for k in range(len(values)) if k != i), key=lambda k: (away(i, k), k)))}
+    roots = rng.integers(0, 3, len(values))
+    want = {(i, j) for i in range(len(values)) for j in range(i) if roots[i] != roots[j] and near(i, j)}
+    links = similar.cross_links(values, roots, 30)
+    assert len(links) == len(want) and {(max(x), min(x)) for x in links} == want
+    assert not similar.cross_links(values, np.zeros(len(values), np.int64), 30)
+    for find in similar.nearest_links, similar.cross_links:  # small shards are compared at once
+        small = {(max(x), min(x)) for x in find(values[:100], roots[:100], 30)}
+        monkeypatch.setattr(similar, "LEAF", 7)
+        assert {(max(x), min(x)) for x in find(values[:100], roots[:100], 30)} == small
+        monkeypatch.undo()
 
 
 def test_stages_keep_columns_and_stand_empty_tables(spark):
