@@ -10,10 +10,12 @@ similar ones meet more surely. Each shard is a BK-tree whose edges carry Hamming
 1. Every fingerprint is linked to its nearest entry in each tree. The links are verified by the exact
    Jaccard similarity of the shingles: first each document's nearest one, then all that still lie
    between different components. This joins most of what belongs together with few links.
-2. The fingerprints that have a neighbour go through the trees again with their component, and every
-   pair within the radius that still lies between different components is verified. So no candidate
-   is dropped: what is missed is only what no table brings together. Where many documents are within
-   the radius of each other without being similar, these pairs grow with the square of their number.
+2. The fingerprints that have a neighbour go through the trees again with their component. Those that
+   have a partner within the radius in another component meet once more, with their shingles, and
+   every such pair is verified where it stands, unless its components have been joined before. So no
+   candidate is dropped, and only links that join components come out. What is missed is what no
+   table brings together. Comparisons, not rows, grow with the square of a group whose documents are
+   within the radius of each other without being similar.
 
 Sets of shingles are hashes of 32 bits.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from namtok.llm.common import drop, materialize, slices
 from namtok.llm.components import connected_components
 
-WORDS, SIMILARITY, BITS, MEET = 5, 0.8, 128, 0.98
+WORDS, SIMILARITY, BITS, MEET = 5, 0.8, 256, 0.98
 #: Entries that a leaf of a tree holds before it gets children, and unlike fingerprints that a shard should have.
 LEAF, SHARD = 128, 16
 
@@ -70,7 +73,7 @@ def sketch(text: bytes, words: int = WORDS) -> tuple[bytes, bytes]:
     if not own:
         return bytes(BITS // 8), b""
     found = {*map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))} if len(own) >= words else {b" ".join(own)}
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in found]), np.uint8).reshape(-1, BITS // 8)
+    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found for seed in range(BITS // 128)]), np.uint8).reshape(-1, BITS // 8)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
@@ -87,7 +90,7 @@ class Tree:
     """A BK-tree: children are keyed by their distance to their parent's pivot; small leaves are compared as arrays."""
 
     def __init__(self, values: np.ndarray):
-        """``values``: the shard's fingerprints, two unsigned 64-bit integers each."""
+        """``values``: the shard's fingerprints, some unsigned 64-bit integers each."""
         self.values = values
         self.top = [None, None, []]  # pivot, children by distance, entries of a leaf
         for i in range(len(values)):
@@ -156,16 +159,38 @@ def nearest_links(values: np.ndarray, roots: np.ndarray, within: int) -> list[tu
     return [(i, j) for i in range(len(values)) if (j := tree.nearest(i, within)) is not None]
 
 
-def cross_links(values: np.ndarray, roots: np.ndarray, within: int) -> list[tuple[int, int]]:
-    """All pairs of a shard's entries within the radius that have different roots, each once."""
+def cross_links(values: np.ndarray, roots: np.ndarray, within: int) -> Iterator[tuple[int, np.ndarray]]:
+    """All pairs of a shard's entries within the radius that have different roots, each once: an entry and its partners."""
     names, own, count = np.unique(roots, return_inverse=True, return_counts=True)
     if len(names) < 2:
-        return []
+        return
     if len(values) <= LEAF:
-        return np.argwhere(np.tril((_distances(values) <= within) & (own[:, None] != own))).tolist()
-    tree, most, own = Tree(values), int(np.argmax(count)), own.tolist()
-    # entries of the largest component needn't ask: the others meet them
-    return [(i, j) for i in range(len(values)) if own[i] != most for j in tree.near(i, within) if own[j] == most or (own[j] != own[i] and j < i)]
+        pairs = np.tril((_distances(values) <= within) & (own[:, None] != own))
+        yield from ((i, np.flatnonzero(pairs[i])) for i in np.flatnonzero(pairs.any(axis=1)).tolist())
+        return
+    tree, most = Tree(values), int(np.argmax(count))
+    for i in np.flatnonzero(own != most).tolist():  # entries of the largest component needn't ask: the others meet them
+        near = np.array(sorted(tree.near(i, within)), np.int64)
+        near = near[(own[near] == most) | (own[near] != own[i]) & (near < i)]
+        if len(near):
+            yield i, near
+
+
+def _masks(tables: np.ndarray) -> np.ndarray:
+    """The bits of each table, laid out as fingerprints are."""
+    bits = np.zeros((len(tables), BITS), np.uint8)
+    np.put_along_axis(bits, tables, 1, axis=1)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def fresh(values: np.ndarray, i: int, near: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Of an entry's partners those that none of these (earlier) tables brings together with it."""
+    out = []
+    for at in range(0, len(near), 1024):
+        own = near[at : at + 1024]
+        away = values[own] ^ values[i]
+        out.append(own[~((away[:, None, :] & masks) == 0).all(axis=2).any(axis=1)])
+    return np.concatenate(out)
 
 
 def _keys(tables: np.ndarray):
@@ -182,39 +207,93 @@ def _keys(tables: np.ndarray):
     return run
 
 
-def _links(find, within: int):
-    """Rows (shard, print, root) in order of shard to the links (a, b, distance) that ``find`` gives, each once a shard."""
+def _values(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, list]]:
+    """(shard, prints, roots, last column) of each shard with two entries or more, of rows (shard, print, root, …) in order of shard."""
+    held: list[tuple[np.ndarray, list, np.ndarray, list]] = []
+
+    def whole(last: bool) -> Iterator[tuple[int, list, np.ndarray, list]]:
+        shard, roots = (np.concatenate([x[k] for x in held]) for k in (0, 2))
+        prints, more = ([p for x in held for p in x[k]] for k in (1, 3))
+        held.clear()
+        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()
+        if not last:  # the last shard may go on
+            at = edges[-2]
+            held.append((shard[at:], prints[at:], roots[at:], more[at:]))
+            edges.pop()
+        for a, b in pairwise(edges):
+            if b - a > 1:
+                yield int(shard[a]), prints[a:b], roots[a:b], more[a:b]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_pylist() if batch.num_columns > 3 else []))
+            if held[0][0][0] != held[-1][0][-1]:
+                yield from whole(False)
+    if held:
+        yield from whole(True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, list[bytes], np.ndarray]] = []
 
-        def settle(prints: list[bytes], roots: np.ndarray) -> list[tuple[bytes, bytes, int]]:
-            values = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-            pairs = np.unique(np.sort(np.array(find(values, roots, within), np.int64).reshape(-1, 2), axis=1), axis=0)
+def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while own := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*own, strict=True), schema, strict=True)], schema=schema)
+
+
+def _links(within: int):
+    """Rows (shard, print, root) in order of shard to links (a, b, distance) of each entry and its nearest one."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("distance", pa.int32())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, prints, roots, _ in _shards(batches):
+            values = _values(prints)
+            pairs = np.unique(np.sort(np.array(nearest_links(values, roots, within), np.int64).reshape(-1, 2), axis=1), axis=0)
             away = np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 1]]).sum(axis=1, dtype=np.int64)
-            return [(prints[i], prints[j], d) for (i, j), d in zip(pairs.tolist(), away.tolist(), strict=True)]
-
-        def flush(last: bool) -> pa.RecordBatch:
-            shard, roots = (np.concatenate([x[k] for x in held]) for k in (0, 2))
-            prints = [p for x in held for p in x[1]]
-            held.clear()
-            edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-            end = len(edges) - 1 if last else len(edges) - 2  # the last shard may go on
-            found = [link for k in np.flatnonzero(np.diff(edges[: end + 1]) > 1) for link in settle(prints[edges[k] : edges[k + 1]], roots[edges[k] : edges[k + 1]])]
-            if not last:
-                held.append((shard[edges[end] :], prints[edges[end] :], roots[edges[end] :]))
-            a, b, d = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(d, pa.int32())], ["a", "b", "distance"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()))
-                if held[0][0][0] != held[-1][0][-1]:
-                    yield flush(False)
-        if held:
-            yield flush(True)
+            yield from ((prints[i], prints[j], d) for (i, j), d in zip(pairs.tolist(), away.tolist(), strict=True))
+
+    return lambda batches: _batched(found(batches), schema)
 
-    return run
+
+def _meeting(within: int, masks: np.ndarray):
+    """Rows (shard, print, root) in order of shard to those of entries that have a partner in another component, in the first shard that a pair shares."""
+    schema = pa.schema([("shard", pa.int64()), ("print", pa.binary()), ("root", pa.int64())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for shard, prints, roots, _ in _shards(batches):
+            values, kept = _values(prints), np.zeros(len(prints), bool)
+            for i, near in cross_links(values, roots, within):
+                near = fresh(values, i, near, masks[: shard >> 40])
+                kept[near] = True
+                kept[i] |= len(near) > 0
+            yield from ((shard, prints[i], int(roots[i])) for i in np.flatnonzero(kept).tolist())
+
+    return lambda batches: _batched(found(batches), schema)
+
+
+def _settle(within: int, masks: np.ndarray, similarity: float):
+    """Rows (shard, print, root, shingles) in order of shard to the verified links (a, b) that join components."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for shard, prints, roots, sets in _shards(batches):
+            values, parent = _values(prints), {r: r for r in roots.tolist()}
+
+            def root(r: int, parent=parent) -> int:
+                while parent[r] != r:
+                    parent[r] = parent[parent[r]]
+                    r = parent[r]
+                return r
+
+            for i, near in cross_links(values, roots, within):
+                for j in fresh(values, i, near, masks[: shard >> 40]).tolist():
+                    a, b = root(int(roots[i])), root(int(roots[j]))
+                    if a != b and jaccard(sets[i], sets[j]) >= similarity - 1e-9:
+                        parent[a] = b
+                        yield prints[i], prints[j]
+
+    return lambda batches: _batched(found(batches), schema)
 
 
 def _verify(similarity: float):
@@ -252,13 +331,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     nodes = materialize(nodes.withColumn("node", F.xxhash64("print")), "similar-nodes")
     tables = layout(nodes.count(), similarity)
 
-    def candidates(members: DataFrame, find) -> DataFrame:
-        """Links (a, b, distance) between rows (print, root) that share a shard, each once."""
-        shards = members.mapInArrow(_keys(tables), "shard long, print binary, root long").repartition("shard").sortWithinPartitions("shard", "print")
-        found = shards.mapInArrow(_links(find, radius(similarity)), "a binary, b binary, distance int")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+    within, masks = radius(similarity), _masks(tables)
+
+    def dealt(members: DataFrame) -> DataFrame:
+        """Rows (print, root) by shard."""
+        return members.mapInArrow(_keys(tables), "shard long, print binary, root long").repartition("shard").sortWithinPartitions("shard", "print")
 
-    near = materialize(candidates(nodes.select("print", F.col("node").alias("root")), nearest_links), "similar-links")
+    near = dealt(nodes.select("print", F.col("node").alias("root"))).mapInArrow(_links(within), "a binary, b binary, distance int")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+    near = materialize(near, "similar-links")
 
     linked = materialize(near.select(F.col("a").alias("print")).unionAll(near.select("b")).distinct(), "similar-linked")
     sets = materialize(prints.filter("shingles is not null").join(linked, "print", "left_semi").select("print", "shingles").dropDuplicates(["print"]), "similar-sets")
@@ -280,8 +361,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     second = materialize(first.unionAll(verified(apart.filter(root("a") != root("b")))), "similar-joined")
     labels = connected_components(second, "similar-joined-groups")
     rooted = linked.withColumn("node", F.xxhash64("print")).join(labels, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-    rest = materialize(candidates(rooted, cross_links).join(near.select("a", "b"), ["a", "b"], "left_anti"), "similar-rest")
-    labels = connected_components(second.unionAll(verified(rest)), "similar-groups")
+    meeting = materialize(dealt(rooted).mapInArrow(_meeting(within, masks), "shard long, print binary, root long"), "similar-meeting")
+    full = meeting.join(sets, "print").select("shard", "print", "root", "shingles").repartition("shard").sortWithinPartitions("shard", "print")
+    rest = full.mapInArrow(_settle(within, masks, similarity), "a binary, b binary").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    labels = connected_components(second.unionAll(rest), "similar-groups")
     named = nodes.join(labels, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     firsts = materialize(named.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "similar-firsts")
     drop(sets)

@@ -70,14 +70,25 @@ def test_large_group_of_near_copies_in_one_tree(monkeypatch):
     assert dict(links) == {i: j for i in range(len(values)) if near(i, j := min((k for k in range(len(values)) if k != i), key=lambda k: (away(i, k), k)))}
     roots = rng.integers(0, 3, len(values))
     want = {(i, j) for i in range(len(values)) for j in range(i) if roots[i] != roots[j] and near(i, j)}
-    links = similar.cross_links(values, roots, 30)
-    assert len(links) == len(want) and {(max(x), min(x)) for x in links} == want
-    assert not similar.cross_links(values, np.zeros(len(values), np.int64), 30)
-    for find in similar.nearest_links, similar.cross_links:  # small shards are compared at once
-        small = {(max(x), min(x)) for x in find(values[:100], roots[:100], 30)}
-        monkeypatch.setattr(similar, "LEAF", 7)
-        assert {(max(x), min(x)) for x in find(values[:100], roots[:100], 30)} == small
-        monkeypatch.undo()
+    cross = lambda n, r: [(max(i, j), min(i, j)) for i, near in similar.cross_links(values[:n], r[:n], 30) for j in near.tolist()]
+    links = cross(len(values), roots)
+    assert len(links) == len(want) and set(links) == want
+    assert not cross(len(values), np.zeros(len(values), np.int64))
+    nearest, small = similar.nearest_links(values[:100], roots, 30), cross(100, roots)  # small shards are compared at once
+    monkeypatch.setattr(similar, "LEAF", 7)
+    assert similar.nearest_links(values[:100], roots, 30) == nearest and sorted(cross(100, roots)) == sorted(small)
+
+
+def test_pairs_of_the_first_table_alone():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, 32, np.uint8)
+    prints = np.array([base ^ np.packbits(rng.random(256) < 0.05) for _ in range(60)])
+    tables = similar.layout(500, 0.8)
+    bits, masks, values = np.unpackbits(prints, axis=1), similar._masks(tables), prints.view(np.uint64)
+    for t in range(len(tables)):
+        for i in range(0, 60, 7):
+            before = [j for j in range(60) if not any((bits[i, tables[k]] == bits[j, tables[k]]).all() for k in range(t))]
+            assert similar.fresh(values, i, np.arange(60), masks[:t]).tolist() == before
 
 
 def test_stages_keep_columns_and_stand_empty_tables(spark):
