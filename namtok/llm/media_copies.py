@@ -5,13 +5,16 @@ every tile (``images.describe``). Two corners match if their descriptors of 256
 bits at most. A pair of images is a copy if one similarity explains VOTES of its matches. Copies
 are reported by class.
 
-Links are found in two rounds. First, corners that agree in one of WORDS keys of 64 bits meet the
-NEXT in order and the first, which joins most copies without all pairs. Then corners of images that
-aren't of one class yet meet in Hamming tables: a table's key is a window of the descriptor, as long
-as the number of corners asks for, and there are as many tables as find RECALL of the corners in
-which every tenth bit differs (``layout``). Two images with MEET corners that agree in a key, and
-differ in FIRST of the descriptor's first 64 bits at most, are candidates; all their corners are
-then compared, and the matches put to the geometric test.
+Links are found in two rounds. First, images that share one of their SKETCH least descriptor hashes
+are put to the geometric test by their equal descriptors, each with the first of its key and the
+NEXT before it; that joins most copies without all pairs. Then images that aren't of one class yet
+meet in blocks: every pair of blocks of classes is a task, so no task grows with the input, but
+their number grows with its square over BLOCK. A task keeps one descriptor of each class and finds
+corners that match in Hamming tables in its memory: a table's key is a window of the descriptor, as
+long as the number of corners asks for, and there are as many tables as find RECALL of the corners
+in which every tenth bit differs (``layout``). Two images of which MEET matches so found agree
+roughly are candidates; all their corners are then compared, and the matches put to the geometric
+test. Matches never leave the task, as there are far more of them than of images.
 """
 
 from __future__ import annotations
@@ -22,16 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namtok.llm import images
-from namtok.llm.common import join_unique, materialize, rows_per_batch, table
+from namtok.llm.common import gathered, join_unique, materialize, rows_per_batch, table
 from namtok.llm.components import connected_components
 
-WORDS, BITS, VOTES, NEXT = 4, 48, 6, 4
-#: Of the tables: least bits of a key, share of corners with a tenth of their bits changed that they find, corners that must meet, and bits of the first 64 in which these may differ.
-LEAST_BITS, RECALL, MEET, FIRST = 16, 0.9, 3, 16
+WORDS, BITS, VOTES, NEXT, SKETCH = 4, 48, 6, 4, 4
+#: Of the tables: least bits of a key, share of corners with a tenth of their bits changed that they find, and corners that must meet.
+LEAST_BITS, RECALL, MEET = 16, 0.9, 3
+#: Two matches agree roughly if one carries the other to so many pixels and radians: twice what the geometric test grants.
+ROUGH = 8.0, 0.7
+#: Corners of a block on average, least number of blocks, so that there are tasks enough, and rows that are compared at once.
+BLOCK, LEAST_BLOCKS, AT_ONCE = 600_000, 4, 1 << 20
 #: Media that are sent to Python at once.
 MEDIA_ROWS = 500
 
@@ -67,21 +74,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["node", "places", "keys"])
 
 
-def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, matches) to the pairs that one similarity explains."""
-    for batch in batches:
-        kept = [(a, b) for a, b, m in zip(*(c.to_pylist() for c in batch.columns), strict=True) if images.inliers(np.hstack([unpack(np.array([x[k] for x in m], np.int64)) for k in "pq"])) >= VOTES]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], ["a", "b"])
-
-
-def _pairs(matches: DataFrame) -> DataFrame:
-    """Rows (a, p, b, q) of matching corners to the pairs of images (a, b) that are copies."""
-    swap = F.col("a") > F.col("b")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    matches = matches.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.struct(pick("p", "q").alias("p"), pick("q", "p").alias("q")).alias("m"))
-    return matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).filter(F.size("m") >= VOTES).mapInArrow(_consensus, "a long, b long")
-
-
 def layout(corners: int) -> list[tuple[int, int]]:
     """(first bit, bits) of each table's window of a descriptor, for so many corners."""
     bits = min(40, max(LEAST_BITS, math.ceil(math.log2(corners + 1))))
@@ -89,57 +81,217 @@ def layout(corners: int) -> list[tuple[int, int]]:
     return [(images.TESTS * t // tables, bits) for t in range(tables)]
 
 
-def _window(first: int, bits: int) -> Column:
-    """Bits of the descriptor w0 … w3 from the first on, in a ring."""
+def _window(first: int, bits: int, words: list | None = None):
+    """Bits of the descriptor from the first on, in a ring; of the columns w0 … w3, or of four arrays."""
     word, shift = divmod(first, 64)
+    if words is not None:
+        high = words[word] if not shift else words[word] << np.uint64(shift) | words[(word + 1) % WORDS] >> np.uint64(64 - shift)
+        return high >> np.uint64(64 - bits)
     high = F.shiftleft(f"w{word}", shift)
     if shift:
         high = high.bitwiseOR(F.shiftrightunsigned(f"w{(word + 1) % WORDS}", 64 - shift))
     return F.shiftrightunsigned(high, 64 - bits)
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, places and keys of each) to the pairs that are copies, by all their corners."""
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each row of four words."""
+    found = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        found = (found ^ words[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def _lists(column: pa.Array, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists in rows of so many, and the number of rows in each list."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), np.diff(column.offsets.to_numpy()) // width
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, places, keys) to a row (key, node, places, hashes) for each of an image's SKETCH least hashes."""
     for batch in batches:
-        kept = []
-        for a, b, p, k, q, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = (np.array(v, np.int64).reshape(-1, WORDS) for v in (k, m))
-            pairs = []
-            for at in range(0, len(x), 256):  # bounds memory for images of many corners
-                differ = np.bitwise_count(x[at : at + 256, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero(differ <= BITS)
-                pairs.append((i + at, j))
-            i, j = (np.concatenate(v) for v in zip(*pairs, strict=True))
-            if len(i) >= VOTES and images.inliers(np.hstack([unpack(np.array(p, np.int64)[i]), unpack(np.array(q, np.int64)[j])])) >= VOTES:
-                kept.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], ["a", "b"])
+        words, count = _lists(batch.column(2), WORDS)
+        own = np.split(_hashes(words).view(np.int64), np.cumsum(count)[:-1]) if batch.num_rows else []
+        keys = [np.unique(h)[:SKETCH] for h in own]
+        row = np.repeat(np.arange(len(own)), [len(k) for k in keys])
+        hashes = pa.array(own, pa.list_(pa.int64())).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), hashes], ["key", "node", "places", "hashes"])
+
+
+class _Joined(dict):
+    """Union-find of the nodes that a task has linked."""
+
+    def root(self, x):
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
+
+    def join(self, x, y):
+        self[self.root(x)] = self.root(y)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, node, places, hashes) to links between images of one key, by their equal descriptors."""
+    joined, last, met = _Joined(), None, []
+    for batch in batches:
+        links = []
+        for key, node, places, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if len(joined) > 1 << 20:
+                joined.clear()
+            if key != last:
+                last, met = key, []
+            places, hashes = unpack(np.array(places, np.int64)), np.array(hashes, np.int64)
+            for other, p, h in met:
+                if joined.root(other) == joined.root(node):
+                    continue
+                i, j = np.nonzero(h[:, None] == hashes[None, :])
+                if len(i) >= VOTES and images.inliers(np.hstack([p[i], places[j]]), enough=VOTES) >= VOTES:
+                    joined.join(node, other)
+                    links.append((other, node))
+            met.append((node, places, hashes))
+            if len(met) > 1 + NEXT:
+                del met[1]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to so many at most, or hold one item."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and their end."""
+    return np.r_[0, np.nonzero(values[1:] != values[:-1])[0] + 1, len(values)] if len(values) else np.zeros(1, int)
+
+
+def _matches(words: np.ndarray, root: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Descriptors (i, j) of different roots, and sides if given, that differ in BITS at most and agree in a table's key."""
+    found, tables = [], layout(len(words))
+    columns = [np.ascontiguousarray(words[:, k]) for k in range(WORDS)]
+    for t, (first, bits) in enumerate(tables):
+        key = _window(first, bits, columns)
+        order = np.argsort(key, kind="stable")
+        starts = _starts(key[order])
+        after = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(order)) - 1
+        for at, end in _runs(after, AT_ONCE):
+            for skip in range(0, int(after[at]) if end == at + 1 else 1, AT_ONCE):  # one descriptor may have more partners
+                count = np.minimum(after[at:end] - skip, AT_ONCE) if end == at + 1 else after[at:end]
+                i = np.repeat(np.arange(at, end), count)
+                j = gathered(np.arange(len(order)), np.arange(at, end) + 1 + skip, count)
+                i, j = order[i], order[j]
+                keep = root[i] != root[j] if side is None else side[i] != side[j]
+                i, j = i[keep], j[keep]
+                differ = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int16) for c in columns)
+                i, j = i[differ <= BITS], j[differ <= BITS]
+                for before in tables[:t]:  # a match is kept where its first table finds it
+                    new = _window(*before, [c[i] ^ c[j] for c in columns]) != 0
+                    i, j = i[new], j[new]
+                found.append((i.astype(np.int32), j.astype(np.int32)))
+    i, j = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 2
+    swap = root[i] > root[j]
+    return np.where(swap, j, i), np.where(swap, i, j)
+
+
+def _agreeing(p: np.ndarray, q: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of runs of matches (places p and q), if MEET of a run agree roughly in what one of them proposes."""
+    good = np.zeros(len(count), bool)
+    begin = np.cumsum(count) - count
+    for at, end in _runs(count * count, AT_ONCE):
+        n = count[at:end]
+        run = np.repeat(np.arange(end - at), n * n)
+        k = np.arange(len(run)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
+        i, j = begin[at:end][run] + k // n[run], begin[at:end][run] + k % n[run]
+        turn = q[:, 2] - p[:, 2]
+        turn, ratio, bend = turn[i], p[i, 3] / q[i, 3], turn[j] - turn[i]
+        c, s = ratio * np.cos(turn), ratio * np.sin(turn)
+        dx, dy = p[j, 0] - p[i, 0], p[j, 1] - p[i, 1]
+        off = np.hypot(q[i, 0] + c * dx - s * dy - q[j, 0], q[i, 1] + s * dx + c * dy - q[j, 1])
+        near = (off <= ROUGH[0]) & (np.abs((bend + np.pi) % (2 * np.pi) - np.pi) < ROUGH[1])
+        votes = np.add.reduceat(near, np.nonzero(k % n[run] == 0)[0])
+        good[at:end] = np.maximum.reduceat(votes, np.cumsum(n) - n) >= MEET
+    return good
+
+
+def _between(task: pa.Table) -> pa.Table:
+    """Rows (node, root, side, places, keys) of two blocks, or of one, to links between images of different roots."""
+    node, root = task["node"].to_numpy(), np.unique(task["root"].to_numpy(), return_inverse=True)[1]
+    side = task["side"].to_numpy()
+    packed, count = _lists(task["places"])
+    places, words = unpack(packed[:, 0]), _lists(task["keys"], WORDS)[0].view(np.uint64)
+    image = np.repeat(np.arange(len(node)), count)
+    begin = np.cumsum(count) - count
+    # one descriptor for all corners of a class that have it
+    one, own = np.unique(_hashes(np.hstack([words, root[image][:, None].astype(np.uint64)])), return_index=True, return_inverse=True)[1:]
+    holders, holds = np.argsort(own, kind="stable"), np.bincount(own, minlength=len(one))
+    first = np.cumsum(holds) - holds
+    kind = root[image[one]]
+    i, j = _matches(words[one], kind, side[image[one]] if side.any() else None)
+    order = np.argsort(kind[i].astype(np.int64) * (root.max(initial=0) + 1) + kind[j], kind="stable")
+    i, j = i[order], j[order]
+    classes = _starts(kind[i].astype(np.int64) * (root.max(initial=0) + 1) + kind[j])
+
+    links, joined = [], _Joined()
+    for from_, to in _runs(np.add.reduceat(holds[i], classes[:-1]) if len(i) else np.zeros(0, int), AT_ONCE):
+        u, v = i[classes[from_] : classes[to]], j[classes[from_] : classes[to]]
+        a, v = gathered(holders, first[u], holds[u]), np.repeat(v, holds[u])
+        # all matches of an image stand together
+        order = np.lexsort((kind[v], image[a]))
+        a, v = a[order], v[order]
+        group = _starts(image[a].astype(np.int64) * (root.max(initial=0) + 1) + kind[v])
+        for low, high in _runs(np.add.reduceat(holds[v], group[:-1]), AT_ONCE):
+            x, y = a[group[low] : group[high]], v[group[low] : group[high]]
+            x, y = np.repeat(x, holds[y]), gathered(holders, first[y], holds[y])
+            pair = image[x].astype(np.int64) * len(node) + image[y]
+            order = np.argsort(pair, kind="stable")
+            starts = _starts(pair[order])
+            size = np.diff(starts)
+            many = size >= MEET
+            if not many.any():
+                continue
+            pick = order[np.repeat(many, size)]
+            good = _agreeing(places[x[pick]], places[y[pick]], size[many])
+            for c in pair[order[starts[:-1][many][good]]].tolist():
+                m, n = divmod(c, len(node))
+                if joined.root(root[m]) == joined.root(root[n]):
+                    continue
+                if _is_copy(*(v[begin[k] : begin[k] + count[k]] for k in (m, n) for v in (places, words))):
+                    joined.join(root[m], root[n])
+                    links.append((m, n))
+    return pa.table([pa.array(node[[x[k] for x in links]] if links else [], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _is_copy(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray) -> bool:
+    """If one similarity explains VOTES of the matches between all corners of two images."""
+    pairs = []
+    for at in range(0, len(x), 256):  # bounds memory for images of many corners
+        differ = np.bitwise_count(x[at : at + 256, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(differ <= BITS)
+        pairs.append((i + at, j))
+    i, j = (np.concatenate(v) for v in zip(*pairs, strict=True))
+    return len(i) >= VOTES and images.inliers(np.hstack([p[i], q[j]]), enough=VOTES) >= VOTES
 
 
 def linked(features: DataFrame) -> DataFrame:
     """Rows (node, places, keys) to links (a, b) that give the components of all pairs that are copies."""
-    words = [F.get("keys", F.col("i") * WORDS + k).alias(f"w{k}") for k in range(WORDS)]
-    corners = features.select("node", "keys", F.posexplode("places").alias("i", "p")).select("node", "i", "p", *words)
-    entries = corners.select("node", "p", F.posexplode(F.array(*[f"w{k}" for k in range(WORDS)])).alias("table", "key"))
-    window = Window.partitionBy("table", "key").orderBy("node", "p")
-    other = F.struct(F.col("node").alias("b"), F.col("p").alias("q"))
-    near = F.array(*[F.lead(other, k).over(window) for k in range(1, NEXT + 1)], F.first(other).over(window))
-    matches = entries.withColumn("near", near).withColumn("o", F.explode(F.array_compact("near"))).select(F.col("node").alias("a"), "p", "o.*")
-    first = materialize(_pairs(matches.filter("a <> b")), "media-near")
+    sketches = features.select("node", "places", "keys").mapInArrow(_sketches, "key long, node long, places array<long>, hashes array<long>")
+    first = sketches.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near, "a long, b long")
+    first = materialize(first.distinct(), "media-near")
     labels = connected_components(first, "media-near-links")
 
     number = features.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    windows = F.array(*[_window(at, bits) + F.lit(t << bits) for t, (at, bits) in enumerate(layout(number))])
-    rooted = corners.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entries = rooted.select("node", "root", "i", "w0", F.explode(windows).alias("key"))
-    # both sides are the same exchange; a key of many corners is split by the adaptive skew join
-    left, right = (entries.select(*[F.col(c).alias(f"{side}_{c}") for c in entries.columns]) for side in "ab")
-    met = left.join(right, F.col("a_key") == F.col("b_key"))
-    met = met.filter((F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node")) & (F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))) <= FIRST))
-    pair = F.shiftleft(F.col("a_i").cast("long"), 32).bitwiseOR(F.col("b_i").cast("long"))
-    candidates = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.size(F.collect_set(pair)).alias("n")).filter(F.col("n") >= MEET)
-    candidates = materialize(candidates.select("a", "b"), "media-candidates")
-    one, two = (features.select(F.col("node").alias(x), F.col("places").alias(f"{x}_places"), F.col("keys").alias(f"{x}_keys")) for x in "ab")
-    second = candidates.join(one, "a").join(two, "b").select("a", "b", "a_places", "a_keys", "b_places", "b_keys").mapInArrow(_compared, "a long, b long")
+    blocks = max(LEAST_BLOCKS, math.ceil(number / BLOCK))
+    rooted = features.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    block = F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rooted.withColumn("own", block).withColumn("other", other)
+    dealt = dealt.select("node", "root", (F.col("own") > F.col("other")).cast("int").alias("side"), "places", "keys", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("task"))
+    second = dealt.groupBy("task").applyInArrow(_between, "a long, b long")
     return first.unionByName(second)
 
 

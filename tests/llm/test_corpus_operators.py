@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from namtok.llm import decontaminate, elias_fano, exact_substrings, images, language_id, line_dedup, media_copies, simhash, suffixes, token_counts, token_files, warc
 from namtok.llm import sentencepiece as lattice
 from namtok.llm.common import shared_dir
+from namtok.llm.components import connected_components
 from tests.llm import plain
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -387,6 +388,54 @@ def test_media_edits(spark):
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def test_strangers_are_no_copies():
+    """Every two of 120 scenes, by all their corners."""
+    found = [images.describe(images.decode(media_copies.render([3000.0 + i], 0))) for i in range(120)]
+    words = [np.ascontiguousarray(bits).view(np.uint64) for _, bits in found]
+    votes = []
+    for a in range(120):
+        for b in range(a):
+            i, j = np.nonzero(np.bitwise_count(words[a][:, None, :] ^ words[b][None, :, :]).sum(axis=2) <= media_copies.BITS)
+            if len(i) >= media_copies.VOTES:
+                votes.append(images.inliers(np.hstack([found[a][0][i], found[b][0][j]])))
+    assert max(votes, default=0) < media_copies.VOTES
+
+
+def test_links_are_those_of_all_pairs(spark):
+    """Edited and strange scenes: the classes are those of a comparison of all corners of every two images."""
+    rng, nodes = np.random.default_rng(15), {}
+    for i in range(24):
+        scene = images.decode(media_copies.render([4000.0 + i], 0))
+        edits = [scene, scene[30:120, 20:110] * 0.8, images._resize(scene, 0.7), np.rot90(scene) + rng.normal(0, 12, scene.shape)]
+        nodes |= {10 * i + k: images.describe(np.clip(np.rint(e), 0, 255)) for k, e in enumerate(edits)}
+    least = {n: n for n in nodes}
+    for b in nodes:
+        for a in range(b):
+            if a in nodes and agreeing_corners(nodes[a], nodes[b]) >= media_copies.VOTES:
+                old, least_of = least[b], least[a]
+                least |= {n: min(old, least_of) for n in nodes if least[n] in (old, least_of)}
+    assert sum(least[n] == n for n in nodes) < len(nodes) / 2
+    rows = [(n, media_copies.pack(p).tolist(), b.reshape(len(b) * media_copies.WORDS, -1).copy().view(">i8")[:, 0].astype(np.int64).tolist()) for n, (p, b) in nodes.items()]
+    links = media_copies.linked(spark.createDataFrame(rows, "node long, places array<long>, keys array<long>"))
+    roots = {r.node: r.root for r in connected_components(links, "media-test").collect()}
+    assert {n: roots.get(n, n) for n in nodes} == least
+
+
+def agreeing_corners(one, two):
+    (places, bits), (other, other_bits) = one, two
+    i, j = np.nonzero(np.bitwise_count(bits[:, None, :] ^ other_bits[None, :, :]).sum(axis=2) <= media_copies.BITS)
+    return images.inliers(np.hstack([places[i], other[j]])) if len(i) else 0
+
+
+def test_edits_that_share_half_of_an_image():
+    """Scenes at 0.6 of their size, and crops of half their area: nine in ten crops and two in three small ones are found."""
+    scenes = [images.decode(media_copies.render([5000.0 + i], 0)) for i in range(60)]
+    whole = [images.describe(s) for s in scenes]
+    share = lambda edit: np.mean([agreeing_corners(w, images.describe(np.clip(np.rint(edit(s)), 0, 255))) >= media_copies.VOTES for s, w in zip(scenes, whole, strict=True)])
+    assert share(lambda s: s[30:120, 20:110] * 0.8) >= 0.9
+    assert share(lambda s: images._resize(s, 0.6)) >= 0.65
+
+
 def test_layout_of_tables(spark):
     for corners in (0, 100, 1 << 20, 1 << 36):
         tables = media_copies.layout(corners)
