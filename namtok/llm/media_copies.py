@@ -8,8 +8,8 @@ are reported by class.
 Links are found in two rounds. First, images that share one of their SKETCH least descriptor hashes
 are put to the geometric test by their equal descriptors, each with the first of its key and the
 NEXT before it; that joins most copies without all pairs. Then images that aren't of one class yet
-meet in blocks: every pair of blocks of classes is a task, so no task grows with the input, but
-their number grows with its square over BLOCK. A task keeps one descriptor of each class and finds
+meet in blocks of classes, or of CLASS images of large ones: every pair of blocks is a task, so no
+task grows with the input, but their number grows with its square over BLOCK. A task keeps one descriptor of each class and finds
 corners that match in Hamming tables in its memory: a table's key is a window of the descriptor, as
 long as the number of corners asks for, and there are as many tables as find RECALL of the corners
 in which every tenth bit differs (``layout``). Two images of which MEET matches so found agree
@@ -37,8 +37,8 @@ WORDS, BITS, VOTES, NEXT, SKETCH = 4, 48, 6, 4, 4
 LEAST_BITS, RECALL, MEET = 16, 0.9, 3
 #: Two matches agree roughly if one carries the other to so many pixels and radians: twice what the geometric test grants.
 ROUGH = 8.0, 0.7
-#: Corners of a block on average, least number of blocks, so that there are tasks enough, and rows that are compared at once.
-BLOCK, LEAST_BLOCKS, AT_ONCE = 600_000, 4, 1 << 20
+#: Corners of a block on average, least number of blocks, so that there are tasks enough, images of a class that are kept in one block, and rows that are compared at once.
+BLOCK, LEAST_BLOCKS, CLASS, AT_ONCE = 600_000, 4, 1000, 1 << 20
 #: Media that are sent to Python at once.
 MEDIA_ROWS = 500
 
@@ -185,7 +185,9 @@ def _matches(words: np.ndarray, root: np.ndarray, side: np.ndarray | None) -> tu
                 i = np.repeat(np.arange(at, end), count)
                 j = gathered(np.arange(len(order)), np.arange(at, end) + 1 + skip, count)
                 i, j = order[i], order[j]
-                keep = root[i] != root[j] if side is None else side[i] != side[j]
+                keep = root[i] != root[j]
+                if side is not None:
+                    keep &= side[i] != side[j]
                 i, j = i[keep], j[keep]
                 differ = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int16) for c in columns)
                 i, j = i[differ <= BITS], j[differ <= BITS]
@@ -286,8 +288,9 @@ def linked(features: DataFrame) -> DataFrame:
 
     number = features.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     blocks = max(LEAST_BLOCKS, math.ceil(number / BLOCK))
+    labels = labels.join(labels.groupBy("root").agg(F.ceil(F.count("*") / CLASS).alias("parts")), "root").select("node", "root", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     rooted = features.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    block = F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("root", F.coalesce("part", F.lit(0))), F.lit(blocks)).cast("int")  # a large class is dealt to several
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rooted.withColumn("own", block).withColumn("other", other)
     dealt = dealt.select("node", "root", (F.col("own") > F.col("other")).cast("int").alias("side"), "places", "keys", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("task"))

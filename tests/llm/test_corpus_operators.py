@@ -421,6 +421,26 @@ def test_links_are_those_of_all_pairs(spark):
     assert {n: roots.get(n, n) for n in nodes} == least
 
 
+def test_large_classes_are_dealt_to_several_blocks(spark, monkeypatch):
+    """40 equal images, joined in the first round, and one with a tenth of the bits changed, joined to them in the second."""
+    monkeypatch.setattr(media_copies, "CLASS", 3)
+    rng = np.random.default_rng(17)
+    bits = rng.integers(0, 2, (8, images.TESTS), np.uint8)
+    other = bits ^ (rng.random(bits.shape) < 0.1).astype(np.uint8)
+    places = media_copies.pack(np.array([[10.0 + 13 * k, 20.0 + 7 * (k * k % 11), 0.5, 1.0] for k in range(8)])).tolist()
+    keys = [np.packbits(b, axis=1).reshape(-1, 8).copy().view(">i8")[:, 0].astype(np.int64).tolist() for b in (bits, other)]
+    tasks, between = spark.sparkContext.accumulator(0), media_copies._between
+
+    def counted(task):
+        tasks.add(task.num_rows > 0)
+        return between(task)
+
+    monkeypatch.setattr(media_copies, "_between", lambda task: counted(task))
+    links = media_copies.linked(spark.createDataFrame([(n, places, keys[n == 40]) for n in range(41)], "node long, places array<long>, keys array<long>"))
+    assert {r.root for r in connected_components(links, "media-test").collect()} == {0}
+    assert tasks.value >= media_copies.LEAST_BLOCKS * (media_copies.LEAST_BLOCKS + 1) // 2  # one block meets LEAST_BLOCKS
+
+
 def agreeing_corners(one, two):
     (places, bits), (other, other_bits) = one, two
     i, j = np.nonzero(np.bitwise_count(bits[:, None, :] ^ other_bits[None, :, :]).sum(axis=2) <= media_copies.BITS)
