@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namtok.functions import charclass, dates, numbers, phonetic, text
-from namtok.operators import annotate, evaluate, keywords, romanize, segmentation, spelling
+from namtok.operators import annotate, evaluate, keywords, romanize, segmentation, spelling, words
 from namtok.plans import fulltext
 from namtok.sources import lexicons, sinks
 
@@ -445,8 +445,8 @@ def keyword_top(spark: SparkSession, d: str) -> DataFrame:
     "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank FROM s) SELECT doc_id, word, count, round(score::DOUBLE, 2) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3"
 )
 def keyphrase_top(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
-    found = keywords.keyphrases(tokens, keywords.corpus_frequencies(tokens), _stopwords(spark), 3)
+    docs = _table(spark, d, "documents")
+    found = keywords.text_keyphrases(docs, words.frequencies(docs), _stopwords(spark), 3)
     return found.withColumn("score", F.round(F.col("score").cast("double"), 2))
 
 
