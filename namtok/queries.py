@@ -432,8 +432,8 @@ _FREQ = f"f AS (SELECT token, count(*) AS freq FROM ({_CONTENT}) GROUP BY ALL),
     "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank FROM s) SELECT doc_id, word, count, round(score::DOUBLE, 3) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5"
 )
 def keyword_top(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
-    found = keywords.keywords(tokens, keywords.corpus_frequencies(tokens), _stopwords(spark), 5)
+    docs = _table(spark, d, "documents")
+    found = keywords.text_keywords(docs, words.frequencies(docs), _stopwords(spark), 5)
     return found.withColumn("score", F.round(F.col("score").cast("double"), 3))
 
 
