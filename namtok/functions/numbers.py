@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,31 +40,56 @@ def _digits(n: int, places: list[str]) -> str:
     return out
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is named; else each naming computes it again."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _lookup(n: Column, places: list[str]) -> Column:
     """The words of 0 … 999, from a table made by rule that the optimiser folds to a constant."""
-    return F.get(F.array(*[F.lit(_digits(i, places)) for i in range(1000)]), n.cast("int"))
+    return F.get(F.split(F.lit(",".join(_digits(i, places) for i in range(1000))), ","), n.cast("int"))
 
 
 def _below_million(n: Column) -> Column:
-    return F.concat(_lookup(F.floor(n / F.lit(1000)), ["แสน", "หมื่น", "พัน"]), _lookup(F.pmod(n, F.lit(1000)), ["ร้อย", "สิบ", ""]))
+    return F.concat(_lookup(_div(n, 1000), ["แสน", "หมื่น", "พัน"]), _lookup(n % 1000, ["ร้อย", "สิบ", ""]))
+
+
+def _div(n: Column, size: int) -> Column:
+    return F.call_function("div", n, F.lit(size).cast("bigint"))
 
 
 def number_to_thai_word(number: Column) -> Column:
-    """Number words of 0 … 2^63 - 1; null for negative numbers."""
+    """Number words of 0 … 2^63 - 1; null for negative numbers. Integers and no arrays, as this runs on every row of large tables."""
     n = number.cast("bigint")
-    million = F.lit(1_000_000)
-    size = [F.lit(10 ** (6 * i)).cast("decimal(20,0)") for i in range(4)]
-    groups = F.array(*[F.pmod(F.floor(n.cast("decimal(20,0)") / x).cast("bigint"), million) for x in reversed(size)])
-    words = F.transform(F.filter(F.transform(groups, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: n >= F.element_at(F.array(*[F.lit(10 ** (6 * i)) for i in (3, 2, 1, 0)]), x["i"] + 1)), lambda x: _below_million(x["g"]))
-    out = F.array_join(words, MILLION)
-    return F.when(n == 0, WORDS[0]).when(n > 0, out)
+    parts = [F.when(n >= 10**p, F.concat(_below_million(_div(n, 10**p) % 1_000_000), F.lit(MILLION))).otherwise("") for p in (18, 12, 6)]
+    return F.when(n == 0, WORDS[0]).when(n >= 10**6, F.concat(*parts, _below_million(n % 1_000_000))).when(n > 0, _below_million(n))
 
 
 TOKENS = "|".join([WORDS[0], WORDS[1], ONE_AFTER_TEN, TWO_BEFORE_TEN, *WORDS[2:], "สิบ", "ร้อย", "พัน", "หมื่น", "แสน"])
 
 
+#: The words of a number as they usually stand: each place once, from the largest, then one after ten or a digit.
+_DIGIT = "|".join([*WORDS, TWO_BEFORE_TEN])
+USUAL = "".join(f"((?:{_DIGIT})?{m})?" for m in list(MULTIPLIERS)[:4]) + f"(?:((?:{_DIGIT})?สิบ)({ONE_AFTER_TEN})?)?({_DIGIT})?"
+
+
+def _usual_below_million(text: Column) -> Column:
+    """The value of USUAL words, or null: they are parted once and each part is looked up."""
+    digits = {w: i for i, w in enumerate(WORDS)} | {TWO_BEFORE_TEN: 2}
+    tables = [{"": 0, m: size} | {w + m: i * size for w, i in digits.items()} for m, size in MULTIPLIERS.items()] + [{"": 0, ONE_AFTER_TEN: 1}, {"": 0} | digits]
+    parts = F.split(F.regexp_replace(text, rf"\A{USUAL}\z", "$1|$2|$3|$4|$5|$6|$7"), r"\|", -1)
+    maps = [F.create_map(*[F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for pair in t.items() for x in pair]) for t in tables]
+    value = once(parts, lambda p: sum((F.try_element_at(m, F.get(p, F.lit(i))) for i, m in enumerate(maps[1:], 1)), F.try_element_at(maps[0], F.get(p, F.lit(0)))))
+    return F.when((text != "") & ~F.contains(text, F.lit("|")), value)
+
+
 def _parse_below_million(text: Column) -> Column:
     """Value of words without a million; null if they aren't well formed."""
+    return once(text, lambda t: F.coalesce(_usual_below_million(t), _folded_below_million(t)))
+
+
+def _folded_below_million(text: Column) -> Column:
+    """Value of words in any order, token by token; null if they aren't well formed."""
     tokens = F.regexp_extract_all(text, F.lit(f"({TOKENS})"), F.lit(1))
     values = F.create_map(*[x for pair in [(F.lit(w), F.lit(i).cast("bigint")) for i, w in enumerate(WORDS)] + [(F.lit(TWO_BEFORE_TEN), F.lit(2).cast("bigint"))] for x in pair])
     sizes = F.create_map(*[x for w, n in MULTIPLIERS.items() for x in (F.lit(w), F.lit(n).cast("bigint"))])
@@ -85,13 +112,16 @@ def _parse_below_million(text: Column) -> Column:
 
 def thai_word_to_number(text: Column) -> Column:
     """The number that words spell, or null. The text is cut at the first million; a bare multiplier counts once."""
-    s = trim(text)
-    at = F.instr(s, MILLION)
-    before = F.substring(s, F.lit(1), at - 1)
-    after = F.substring(s, at + len(MILLION), F.length(s))
-    millions = F.when(before == "", F.lit(1).cast("bigint")).otherwise(_parse_below_million(before))
-    rest = F.when(after == "", F.lit(0).cast("bigint")).otherwise(_parse_below_million(after))
-    return F.when(s == "", None).when(at > 0, millions * 1_000_000 + rest).otherwise(_parse_below_million(s))
+
+    def parsed(s: Column) -> Column:
+        at = F.instr(s, MILLION)
+        before = F.substring(s, F.lit(1), at - 1)
+        after = F.substring(s, at + len(MILLION), F.length(s))
+        millions = F.when(before == "", F.lit(1).cast("bigint")).otherwise(_parse_below_million(before))
+        rest = F.when(after == "", F.lit(0).cast("bigint")).otherwise(_parse_below_million(after))
+        return F.when(s == "", None).when(at > 0, millions * 1_000_000 + rest).otherwise(_parse_below_million(s))
+
+    return once(trim(text), parsed)
 
 
 def thai_word_to_decimal(text: Column) -> Column:
@@ -105,10 +135,11 @@ def number_to_baht_text(baht: Column, satang: Column) -> Column:
 
 def parse_baht_text(text: Column) -> Column:
     """struct(baht, satang), or null."""
-    s = trim(text)
-    at = F.instr(s, BAHT)
-    baht = thai_word_to_number(F.substring(s, F.lit(1), at - 1))
-    rest = trim(F.substring(s, at + len(BAHT), F.length(s)))
-    satang = F.when((rest == "") | (rest == WHOLE), F.lit(0).cast("bigint")).when(rest.endswith(SATANG), thai_word_to_number(F.substring(rest, F.lit(1), F.length(rest) - len(SATANG))))
-    ok = (at > 0) & baht.isNotNull() & satang.isNotNull() & (satang <= 99)
-    return F.when(ok, F.struct(baht.alias("baht"), satang.cast("int").alias("satang")))
+
+    def amount(s: Column, at: Column, rest: Column) -> Column:
+        satang = F.when((rest == "") | (rest == WHOLE), F.lit(0).cast("bigint")).when(rest.endswith(SATANG), thai_word_to_number(F.substring(rest, F.lit(1), F.length(rest) - len(SATANG))))
+        both = F.struct(thai_word_to_number(F.substring(s, F.lit(1), at - 1)).alias("baht"), satang.alias("satang"))
+        ok = lambda b: b["baht"].isNotNull() & b["satang"].isNotNull() & (b["satang"] <= 99)
+        return F.when(at > 0, once(both, lambda b: F.when(ok(b), F.struct(b["baht"].alias("baht"), b["satang"].cast("int").alias("satang")))))
+
+    return once(trim(text), lambda s: once(F.instr(s, BAHT), lambda at: once(trim(F.substring(s, at + len(BAHT), F.length(s))), lambda rest: amount(s, at, rest))))

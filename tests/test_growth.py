@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from namtok.functions import numbers
 from namtok.operators import keywords, words
 from namtok.operators.words import in_python
+from namtok.plans import fulltext
 
 
 def plan_of(df):
@@ -60,3 +62,53 @@ def test_keywords_of_repeated_ids(spark):
     assert rows == {(1, w): 1 for w in ("aa", "bb", "cc", "dd", "ee")} | {(None, "xx"): 2, (None, "yy"): 1}
     phrases = {r.word for r in keywords.text_keyphrases(df, frequencies, none).filter("doc_id = 1").collect()}
     assert {"aa dd", "bb ee", "ee cc"} <= phrases and "cc dd" not in phrases  # by their places: aa dd | bb ee | cc
+
+
+def test_number_words_by_lookup(column):
+    """The usual words are looked up, the rest is folded token by token; both give what the fold gives."""
+    rng = random.Random(4)
+    usual = [numbers._digits(rng.randint(0, 999), ["แสน", "หมื่น", "พัน"]) + numbers._digits(rng.randint(0, 999), ["ร้อย", "สิบ", ""]) for _ in range(300)]
+    tokens = [*numbers.WORDS, *numbers.MULTIPLIERS, numbers.ONE_AFTER_TEN, numbers.TWO_BEFORE_TEN, "|", "x", "\n"]
+    odd = ["".join(rng.choices(tokens, k=rng.randint(0, 5))) for _ in range(1500)] + ["||||||หนึ่ง", "หนึ่ง|", "สิบ\n", "", None]
+    both = column(numbers._parse_below_million, [*usual, *odd])
+    assert both == column(numbers._folded_below_million, [*usual, *odd])
+    fast = column(numbers._usual_below_million, usual)
+    assert all(v is not None for v, t in zip(fast, usual, strict=True) if t)
+    values = [rng.randint(0, 10 ** rng.randint(1, 18)) for _ in range(500)] + [10**k + d for k in range(1, 19) for d in (-1, 0, 1)]
+    words_of = column(numbers.number_to_thai_word, values, "bigint")
+
+    def plain(n):
+        groups = [n // 10 ** (6 * i) % 10**6 for i in (3, 2, 1, 0) if n >= 10 ** (6 * i)]
+        return numbers.MILLION.join(numbers._digits(g // 1000, ["แสน", "หมื่น", "พัน"]) + numbers._digits(g % 1000, ["ร้อย", "สิบ", ""]) for g in groups)
+
+    assert words_of == [plain(n) if n else "ศูนย์" for n in values]
+
+
+def test_script_postings(spark):
+    """Positions counted within the row are the window's, and no posting is shuffled or sorted for them."""
+    rng = random.Random(6)
+    parts = ["The", "the", "of", "Cat", "é", "ÉX", "12", "๑๒", "กินข้าว", "ＡＢ", " ", " ", ", ", "!", "😀", "\x01", "x" * 130]
+    docs = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(60)] + [(90, None), (91, "")]
+    stops = spark.createDataFrame([("the",), ("of",), ("é",)], "word string")
+    for rows in (docs, [*docs[:5], (90, "cat dog")], [(i % 7 or None, t) for i, t in docs]):
+        df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+        one = lambda x: sorted(map(str, x.select("doc_id", "lexeme", "weight", "head").collect()))
+        fast, slow = (f(df, stopwords=stops) for f in (fulltext.script_postings, lambda *a, **b: fulltext.postings(fulltext.script_fts_tokens(*a, **b))))
+        assert one(fast) == one(slow)
+        counts = {(r.lexeme, r.ndoc, r.nentry) for r in fulltext.ts_stat(fast).collect()}
+        ids = {}
+        for r in slow.collect():
+            ids.setdefault(r.lexeme, []).append(r.doc_id)
+        assert counts == {(x, len(set(i) - {None}), len(i)) for x, i in ids.items()}
+        if len({i for i, _ in rows}) == len(rows):
+            assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+            assert "Window" not in plan_of(fast) and "Exchange hashpartitioning" not in plan_of(fast)
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    index = fulltext.script_postings(df, stopwords=stops)
+    for text in ("cat & 12", "cat | 12", "cat & !12", "!cat", "(cat | x) & !(12 & ab)"):
+        query = fulltext.to_tsquery(text)
+        for given in (None, df):
+            assert sorted(r.doc_id for r in fulltext.search(index, query, docs=given).collect()) == sorted(r.doc_id for r in fulltext.matched(index, query, docs=given).collect()), text
+    joined = fulltext.ts_stat(fulltext.script_postings(df.repartition("doc_id"), stopwords=stops))
+    assert "hashpartitioning(lexeme, doc_id" not in re.sub(r"#\d+", "", plan_of(joined))
+    assert plan_of(fulltext.ts_rank(index, fulltext.to_tsquery("cat & 12"))).count("Generate") == 1
