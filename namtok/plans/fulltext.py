@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from namtok.functions.charclass import KINDS
 from namtok.functions.text import script_tokens
 from namtok.operators.annotate import AnalyzerConfig, fts_tokens
 from namtok.sources.lexicons import Lexicons
@@ -101,6 +102,26 @@ def postings(tokens: DataFrame, config: AnalyzerConfig | None = None, id_col: st
     return rows.select(id_col, F.explode(cut).alias("lexeme"), F.col("place").cast("int").alias("pos"), F.lit(weight).alias("weight"), head.alias("head"))
 
 
+#: What takes a position in an index: maximal runs of these kinds, whose classes share no character.
+INDEXED = "|".join(f"[{KINDS[k]}]+" for k in ("Number", "Thai", "Latin")) + f"|[^{''.join(KINDS.values())}]+"
+
+
+def script_postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stopwords: DataFrame | None = None, weight: str = "D") -> DataFrame:
+    """``postings`` of ``script_fts_tokens``, whose positions are counted within the row: no shuffle, sort or window.
+
+    Only where ids repeat, which a look at the ids alone tells, does a document span rows and take the long way.
+    """
+    if not df.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return postings(script_fts_tokens(df, id_col, text_col, stopwords), id_col=id_col, weight=weight)
+    words = F.regexp_extract_all(text_col, F.lit(f"({INDEXED})"), F.lit(1))
+    if stopwords is not None:
+        stops = [r.word for r in stopwords.select("word").distinct().collect()]
+        words = F.filter(words, lambda w: ~w.isin(stops))
+    rows = df.select(id_col, F.posexplode(words).alias("place", "token"))
+    head = F.lower("token")  # numbers and Thai have no case
+    return rows.select(id_col, cut_lexeme(head).alias("lexeme"), (F.col("place") + 1).cast("int").alias("pos"), F.lit(weight).alias("weight"), head.alias("head"))
+
+
 def tsvector(df: DataFrame, lexicons: Lexicons, config: AnalyzerConfig | None = None, id_col: str = "doc_id", text_col: str = "text", weight: str = "D") -> DataFrame:
     config = config or AnalyzerConfig()
     return postings(fts_tokens(df, lexicons, config, id_col, text_col), config, id_col, weight)
@@ -288,8 +309,33 @@ def matched(index: DataFrame, query, id_col: str = "doc_id", docs: DataFrame | N
     return found.select(id_col, table.alias("places"))
 
 
+def has_phrase(query) -> bool:
+    return isinstance(query, Op) and (query.kind == "phrase" or any(map(has_phrase, query.parts)))
+
+
+def _held(names: list[str]) -> list[Column]:
+    """If a document holds each lexeme, as aggregates."""
+    return [F.max(F.col("lexeme") == x).alias(f"p{i}") for i, x in enumerate(names)]
+
+
+def _true(query, names: list[str]) -> Column:
+    """A query without phrases over the columns of ``_held``."""
+    if isinstance(query, Term):
+        return F.coalesce(f"p{names.index(query.lexeme)}", F.lit(False))
+    if query.kind == "not":
+        return ~_true(query.parts[0], names)
+    return reduce(lambda a, b: a & b if query.kind == "and" else a | b, [_true(p, names) for p in query.parts]) if query.parts else F.lit(False)
+
+
 def search(index: DataFrame, query, id_col: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
-    return matched(index, query, id_col, docs).select(id_col)
+    """Ids of the documents that match; only phrases need places, else what each document holds is enough."""
+    if has_phrase(query):
+        return matched(index, query, id_col, docs).select(id_col)
+    names = lexemes_of(query) or [""]
+    found = index.filter(F.col("lexeme").isin(names)).groupBy(id_col).agg(*_held(names))
+    if docs is not None:
+        found = docs.select(id_col).join(found, id_col, "left")
+    return found.filter(_true(query, names)).select(id_col)
 
 
 def ts_rank(index: DataFrame, query, id_col: str = "doc_id", weights: dict[str, float] | None = None) -> DataFrame:
@@ -298,8 +344,11 @@ def ts_rank(index: DataFrame, query, id_col: str = "doc_id", weights: dict[str,
     value = F.coalesce(*[F.when(F.col("weight") == k, v) for k, v in w.items()], F.lit(w["D"]))
     order = Window.partitionBy(id_col, "lexeme").orderBy(F.desc("value"), "pos")
     kept = index.filter(F.col("lexeme").isin(names)).withColumn("value", value)
-    parts = kept.withColumn("k", F.row_number().over(order)).groupBy(id_col).agg((F.sum(F.col("value") / (F.col("k") * F.col("k"))) / (1.64493406685 * max(1, len(names)))).alias("rank"))
-    return parts.join(search(index, query, id_col), id_col, "left_semi")
+    rank = (F.sum(F.col("value") / (F.col("k") * F.col("k"))) / (1.64493406685 * max(1, len(names)))).alias("rank")
+    ordered = kept.withColumn("k", F.row_number().over(order)).groupBy(id_col)
+    if has_phrase(query):
+        return ordered.agg(rank).join(search(index, query, id_col), id_col, "left_semi")
+    return ordered.agg(rank, *_held(names)).filter(_true(query, names)).select(id_col, "rank")
 
 
 def ts_rank_cd(index: DataFrame, query, id_col: str = "doc_id") -> DataFrame:
@@ -313,9 +362,12 @@ def ts_rank_cd(index: DataFrame, query, id_col: str = "doc_id") -> DataFrame:
 
 
 def ts_stat(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(lexeme, ndoc, nentry), by partial counts per document rather than distinct sets."""
+    """(lexeme, ndoc, nentry), by partial counts per document rather than distinct sets.
+
+    Postings that come by document (of texts repartitioned by id) are counted where they are, without a shuffle of tokens.
+    """
     each = index.groupBy("lexeme", id_col).agg(F.count("*").alias("n"))
-    return each.groupBy("lexeme").agg(F.count("*").alias("ndoc"), F.sum("n").alias("nentry"))
+    return each.groupBy("lexeme").agg(F.count(id_col).alias("ndoc"), F.sum("n").alias("nentry"))
 
 
 def ts_headline(tokens: DataFrame, query, id_col: str = "doc_id", start: str = "<b>", stop: str = "</b>", order_col: str = "ord") -> DataFrame:

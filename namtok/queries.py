@@ -457,7 +457,7 @@ _HAS = "EXISTS (SELECT 1 FROM x WHERE x.doc_id = d.doc_id AND x.lexeme = '{}')"
 
 
 def _index(spark: SparkSession, d: str, table: str = "documents") -> DataFrame:
-    return fulltext.postings(fulltext.script_fts_tokens(_table(spark, d, table), stopwords=_stopwords(spark)))
+    return fulltext.script_postings(_table(spark, d, table), stopwords=_stopwords(spark))
 
 
 def _sql_search(where: str) -> str:
@@ -496,7 +496,8 @@ def fts_websearch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT lexeme, count(DISTINCT doc_id) AS ndoc, count(*) AS nentry FROM ({_INDEXED}) GROUP BY lexeme")
 def ts_stat(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.ts_stat(_index(spark, d))
+    docs = _table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    return fulltext.ts_stat(fulltext.script_postings(docs, stopwords=_stopwords(spark)))
 
 
 _RANK = f"WITH x AS ({_INDEXED}), k AS (SELECT doc_id, lexeme, row_number() OVER (PARTITION BY doc_id, lexeme ORDER BY pos) AS k FROM x WHERE lexeme IN ('that', 'with')), r AS (SELECT doc_id, round(sum(0.1::DOUBLE / (k * k)) / (1.64493406685 * 2), 9) AS rank FROM k GROUP BY doc_id HAVING count(DISTINCT lexeme) = 2) "
