@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from namtok.functions.numbers import once
+
 # Each algorithm's consonant groups and their codes.
 LK82 = {"0": "อฃฅ", "1": "กขคฆ", "2": "จชซศษสฉฌญ", "3": "ตถทธฏฐฑฒดฎ", "4": "บปพผภฝฟ", "5": "ม", "6": "นณ", "7": "ง", "8": "ลรฬ", "9": "ว", "A": "ย", "B": "หฮ"}
 UDOM83 = {"0": "อฃฅ", "1": "กขคฆ", "2": "จชฉฌ", "3": "ซศษส", "4": "ตถทธฏฐฑฒดฎ", "5": "บปพผภฝฟ", "6": "ม", "7": "นณญ", "8": "ง", "9": "ลฬ", "A": "ร", "B": "ว", "C": "ย", "D": "หฮ"}
@@ -54,20 +56,25 @@ SYLLABLE = rf"([{LEAD}])?([{CONSONANT}])(?:({SILENT})|([{UPPER}{TONE}{NIKHAHIT}]
 def metasound(word: Column) -> Column:
     """Three characters a syllable (initial, vowel, final); 000 without a syllable."""
 
-    def code(s: Column) -> Column:
-        part = lambda i: F.regexp_extract(s, SYLLABLE, i)
-        lead, marks, follow = part(1), part(4), part(5)
+    def code(p: Column) -> Column:
+        lead, first, silent, marks, follow, last = (F.get(p, F.lit(i)) for i in range(6))
+
+        def vowel(upper: Column) -> Column:
+            out = F.when(F.contains(marks, F.lit("ํ")), "D").when(lead.isin("ไ", "ใ"), "E").when((lead == "เ") & (follow == "า"), "F").when(lead.isin("เ", "แ"), "8").when(lead == "โ", "9")
+            for mark, value in META_UPPER.items():
+                out = out.when(upper == mark, value)
+            return out.when(follow == "า", "1").when(follow == "ำ", "D").otherwise("0")
+
         upper = F.substring(F.regexp_replace(marks, f"[^{UPPER}]", ""), -1, 1)
-        vowel = F.when(F.contains(marks, F.lit("ํ")), "D").when(lead.isin("ไ", "ใ"), "E").when((lead == "เ") & (follow == "า"), "F").when(lead.isin("เ", "แ"), "8").when(lead == "โ", "9")
-        for mark, value in META_UPPER.items():
-            vowel = vowel.when(upper == mark, value)
-        vowel = vowel.when(follow == "า", "1").when(follow == "ำ", "D").otherwise("0")
-        initial = F.translate(part(2), *_tables(_other(META_INITIAL, CONSONANTS, "J")))
-        final = F.when(part(6) == "", "6").otherwise(F.translate(part(6), *_tables(_other(META_FINAL, CONSONANTS, "6"))))
-        return F.when(part(3) != "", "").otherwise(F.concat(initial, vowel, final))
-
-    codes = F.array_join(F.transform(F.regexp_extract_all(word, F.lit(f"({SYLLABLE})"), F.lit(1)), code), "")
-    return F.when(word.isNotNull(), F.when(codes == "", "000").otherwise(codes))
+        initial = F.translate(first, *_tables(_other(META_INITIAL, CONSONANTS, "J")))
+        final = F.when(last == "", "6").otherwise(F.translate(last, *_tables(_other(META_FINAL, CONSONANTS, "6"))))
+        return F.when((first == "") | (silent != ""), "").otherwise(F.concat(initial, once(upper, vowel), final))
+
+    # all syllables are parted at once; what is in none becomes a row of empty parts
+    rows = F.split(F.regexp_replace(word, rf"(?s){SYLLABLE}|.", "$1|$2|$3|$4|$5|$6;"), ";")
+    parted = F.transform(F.slice(rows, 1, F.size(rows) - 1), lambda r: F.split(r, r"\|", -1))
+    out = once(F.array_join(F.transform(parted, code), ""), lambda codes: F.when(codes == "", "000").otherwise(codes))
+    return F.when(word.isNotNull(), out)
 
 
 def thai_english_soundex(word: Column) -> Column:
