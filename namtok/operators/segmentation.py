@@ -1,87 +1,144 @@
-"""Dictionary segmentation as a relational lattice, with confidence scores.
+"""Dictionary segmentation with confidence scores, in Arrow batches of texts.
 
-Thai runs are told apart first and each distinct run is segmented once. A run's clusters are
-exploded to spans of up to the longest word's clusters and joined to the broadcast lexicon; an
-``aggregate`` over the boundaries then keeps the best way to each (fewest unknown pieces, fewest
-pieces, most frequent words, earliest start of the last piece), and a second one walks back.
+A row is segmented where it is: the lexicon is broadcast, a Thai run's clusters are joined to words
+from the left, and the best way to each boundary is kept (fewest unknown pieces, fewest pieces, most
+frequent words, earliest start of the last piece). Nothing is shuffled and no run meets another.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from namtok.functions.text import clusters, script_tokens, with_spans
+from namtok.functions.charclass import CLUSTER, KINDS, RUNS
+from namtok.operators.words import in_python, slices
 from namtok.sources.lexicons import Lexicons
 
-
-def segment_runs(runs: DataFrame, words: DataFrame, width: int) -> DataFrame:
-    """(run, pieces) of distinct Thai runs; pieces are (text, kind, confidence) in order."""
-    base = runs.select("run").distinct().withColumn("parts", clusters(F.col("run")))
-    spans = base.select("run", "parts", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "_first"))
-    spans = spans.select("run", "parts", "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("i") + width, F.col("n")))).alias("j"))
-    spans = spans.select("run", "i", "j", F.array_join(F.slice("parts", F.col("i") + 1, F.col("j") - F.col("i")), "").alias("word"))
-    edges = spans.join(F.broadcast(words), "word").groupBy("run").agg(F.collect_list(F.struct("i", "j", "freq")).alias("edges"))
-    lattice = base.join(edges, "run", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<i:int,j:int,freq:bigint>>")))
-
-    # a way's key is smaller the better it is; the struct's order is the order of criteria
-    zero, long_zero = F.lit(0), F.lit(0).cast("bigint")
-    start = F.array(F.struct(zero.alias("unknown"), zero.alias("count"), long_zero.alias("rarity"), zero.alias("i"), F.lit(False).alias("known"), long_zero.alias("freq"), zero.alias("rivals")))
-
-    def best(ways: Column, j: Column) -> Column:
-        ending = F.filter("edges", lambda e: e["j"] == j)
-        rivals = F.size(ending) + 1
-
-        def way(i: Column, known: Column, freq: Column) -> Column:
-            before = F.get(ways, i)
-            return F.struct(
-                (before["unknown"] + F.when(known, 0).otherwise(1)).alias("unknown"), (before["count"] + 1).alias("count"), (before["rarity"] - freq).alias("rarity"),
-                i.alias("i"), known.alias("known"), freq.alias("freq"), rivals.alias("rivals"),
-            )
-
-        all_ways = F.concat(F.transform(ending, lambda e: way(e["i"], F.lit(True), e["freq"])), F.array(way(j - 1, F.lit(False), long_zero)))
-        return F.concat(ways, F.array(F.array_min(all_ways)))
-
-    n = F.size("parts")
-    lattice = lattice.withColumn("ways", F.aggregate(F.sequence(F.lit(1), n), start, best))
-    piece = F.struct(zero.alias("i"), zero.alias("j"), F.lit(False).alias("known"), long_zero.alias("freq"), zero.alias("rivals"))
-    walk_start = F.struct(n.alias("at"), F.filter(F.array(piece), lambda _: F.lit(False)).alias("out"))
-
-    def walk(s: Column, _: Column) -> Column:
-        way = F.get(F.col("ways"), s["at"])
-        own = F.struct(way["i"].alias("i"), s["at"].alias("j"), way["known"].alias("known"), way["freq"].alias("freq"), way["rivals"].alias("rivals"))
-        return F.when(s["at"] <= 0, s).otherwise(F.struct(way["i"].alias("at"), F.concat(F.array(own), s["out"]).alias("out")))
-
-    lattice = lattice.withColumn("walk", F.aggregate(F.sequence(F.lit(1), n), walk_start, walk))
-
-    def token(p: Column) -> Column:
-        certain = F.when(p["freq"] > 0, 1.0).otherwise(0.7) * F.when(p["rivals"] <= 1, 1.0).when(p["rivals"] == 2, 0.9).when(p["rivals"] == 3, 0.8).otherwise(0.7)
-        return F.struct(
-            F.array_join(F.slice("parts", p["i"] + 1, p["j"] - p["i"]), "").alias("text"),
-            F.when(p["known"], "Thai").otherwise("Unknown").alias("kind"), F.when(p["known"], certain).otherwise(0.0).cast("float").alias("confidence"),
-        )
-
-    return lattice.select("run", F.transform("walk.out", token).alias("pieces"))
+#: Runs whose pieces a task remembers.
+REMEMBERED = 20_000
+_RUNS, _CLUSTERS = re.compile(in_python(RUNS)), re.compile(in_python(CLUSTER))
+_KINDS = {k: re.compile(f"[{in_python(c)}]") for k, c in KINDS.items()}
+
+#: (text, kind, confidence) of a token.
+Piece = tuple[str, str, float]
+
+
+def segmenter(words: dict[str, list[int]]) -> Callable[[str], list[list[Piece]]]:
+    """A function that gives the pieces of each run of a text; ``words`` has the frequencies of each word."""
+    longest: dict[str, int] = {}  # by the first two characters
+    for w in words:
+        longest[w[:2]] = max(longest.get(w[:2], 0), len(w))
+    remembered: dict[str, list[Piece]] = {}
+    kinds: dict[str, str] = {}
+
+    def kind(char: str) -> str:
+        if char not in kinds:
+            kinds[char] = next((k for k, c in _KINDS.items() if c.match(char)), "Unknown")
+        return kinds[char]
+
+    def cut(run: str) -> list[Piece]:
+        parts = _CLUSTERS.findall(run)
+        n = len(parts)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        at = 0
+        for i, word in enumerate(parts):
+            most, j = longest.get(run[at : at + 2], 1), i + 1
+            at += len(word)
+            while len(word) <= most:
+                for freq in words.get(word, ()):
+                    ends[j].append((i, freq))
+                if j == n:
+                    break
+                word += parts[j]
+                j += 1
+        # a way's key is smaller the better it is: unknown pieces, pieces, rarity, start of the last piece, if that is known, its frequency
+        ways = [(0, 0, 0, 0, False, 0)]
+        for j in range(1, n + 1):
+            unknown, count, rarity = ways[j - 1][:3]
+            best = (unknown + 1, count + 1, rarity, j - 1, False, 0)
+            for i, freq in ends[j]:
+                unknown, count, rarity = ways[i][:3]
+                best = min(best, (unknown, count + 1, rarity - freq, i, True, freq))
+            ways.append(best)
+        out, j = [], n
+        while j > 0:
+            *_, i, known, freq = ways[j]
+            sure = (1.0 if freq > 0 else 0.7) * {1: 0.9, 2: 0.8}.get(len(ends[j]), 0.7)
+            out.append(("".join(parts[i:j]), "Thai", sure) if known else (parts[i], "Unknown", 0.0))
+            j = i
+        return out[::-1]
+
+    def pieces(run: str) -> list[Piece]:
+        own = kind(run[0])
+        if own != "Thai":
+            return [(run, own, 1.0)]
+        if run not in remembered:
+            if len(remembered) >= REMEMBERED:
+                remembered.clear()
+            remembered[run] = cut(run)
+        return remembered[run]
+
+    return lambda text: [pieces(run) for run in _RUNS.findall(text)]
+
+
+def broadcast_words(lexicons: Lexicons):
+    """The broadcast lexicon as ``segmenter`` takes it."""
+    words: dict[str, list[int]] = {}
+    for r in lexicons.words.select("word", F.coalesce("freq", F.lit(0)).alias("freq")).collect():
+        if r.word:
+            words.setdefault(r.word, []).append(r.freq)
+    return lexicons.words.sparkSession.sparkContext.broadcast(words)
 
 
 def segment(df: DataFrame, lexicons: Lexicons, id_col: str = "doc_id", text_col: str = "text", keep_whitespace: bool = False, spans: bool = True) -> DataFrame:
-    """(id, ord, text, kind, confidence[, offsets]) of every token, in order of ``ord``."""
-    tokens = script_tokens(df, id_col, text_col)
-    runs = tokens.filter("kind = 'Thai'").select(F.col("token").alias("run"))
-    cut = segment_runs(runs, lexicons.words, lexicons.width())
-    joined = tokens.join(cut, (tokens["token"] == cut["run"]) & (tokens["kind"] == "Thai"), "left")
-    alone = F.array(F.struct(F.col("token").alias("text"), F.col("kind").alias("kind"), F.lit(1.0).cast("float").alias("confidence")))
-    pieces = joined.select(id_col, F.col("ord").alias("run_ord"), F.posexplode(F.coalesce("pieces", alone)).alias("piece", "p"))
-    out = pieces.select(id_col, F.struct("run_ord", "piece").alias("ord"), F.col("p.text").alias("text"), F.col("p.kind").alias("kind"), F.col("p.confidence").alias("confidence"))
-    if spans:
-        out = with_spans(out, [id_col], "ord", "text")
-    return out if keep_whitespace else out.filter("kind <> 'Whitespace'")
+    """(id, ord, text, kind, confidence[, offsets]) of every token, in order of ``ord``; offsets are those in the row's text."""
+    known, docs = broadcast_words(lexicons), df.select(id_col, text_col)
+    schema = "ord struct<run_ord: int, piece: int>, text string, kind string, confidence float" + ", char_start int, char_end int, byte_start int, byte_end int" * spans
+    types = [pa.string(), pa.string(), pa.float32(), *[pa.int32()] * (4 * spans)]
+
+    def tokens(batches):
+        cut = segmenter(known.value)
+        for batch in slices(batches):
+            rows, runs, places, out = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                char = byte = 0
+                for k, pieces in enumerate(cut(text) if text else ()):
+                    for place, piece in enumerate(pieces):
+                        if spans:
+                            size, held = len(piece[0]), len(piece[0].encode())
+                            piece = (*piece, char, char + size, byte, byte + held)
+                            char, byte = char + size, byte + held
+                        if keep_whitespace or piece[1] != "Whitespace":
+                            rows.append(i)
+                            runs.append(k)
+                            places.append(place)
+                            out.append(piece)
+            order = pa.StructArray.from_arrays([pa.array(runs, pa.int32()), pa.array(places, pa.int32())], names=["run_ord", "piece"])
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), order, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
+
+    out = StructType([docs.schema[0], *StructType.fromDDL(schema).fields])
+    names = out.fieldNames()
+    return docs.mapInArrow(tokens, out)
 
 
 def segment_words(df: DataFrame, lexicons: Lexicons, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words): the texts of each document's tokens in order."""
-    tokens = segment(df, lexicons, id_col, text_col, spans=False)
-    return tokens.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t")).select(id_col, F.transform("t", lambda x: x["text"]).alias("words"))
+    """(id, words): the texts of each row's tokens in order; rows without a token are left out."""
+    known, docs = broadcast_words(lexicons), df.select(id_col, text_col)
+
+    def words(batches):
+        cut = segmenter(known.value)
+        for batch in slices(batches):
+            found = [[p[0] for run in cut(text) for p in run if p[1] != "Whitespace"] if text else [] for text in batch.column(1).to_pylist()]
+            rows = [i for i, w in enumerate(found) if w]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array([w for w in found if w], pa.list_(pa.string()))], names=[id_col, "words"])
+
+    return docs.mapInArrow(words, StructType([docs.schema[0], *StructType.fromDDL("words array<string>").fields]))
 
 
 def next_word(tokens: DataFrame) -> DataFrame:

@@ -76,9 +76,16 @@ def _numbers(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _big().alias("n"))
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt to all cores before costly expressions: a file of a few MB, read by a task, holds millions of them."""
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    return df.repartition(max(4 * context.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def _words(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
     """(o_orderkey, word): order keys in words."""
-    return _table(spark, d, "orders").select("o_orderkey", numbers.number_to_thai_word(F.col("o_orderkey")).alias("word"))
+    orders = _table(spark, d, "orders").select("o_orderkey")
+    return (_spread(orders, "o_orderkey") if spread else orders).select("o_orderkey", numbers.number_to_thai_word(F.col("o_orderkey")).alias("word"))
 
 
 WORDS = f"SELECT o_orderkey, {_sql_word('o_orderkey')} AS word FROM orders"
@@ -162,7 +169,7 @@ def number_to_thai_word(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT l_orderkey, l_linenumber, {BIG} AS n, cast({BIG} AS VARCHAR) AS decimal FROM lineitem")
 def parse_thai_word(spark: SparkSession, d: str) -> DataFrame:
     word = numbers.number_to_thai_word(F.col("n"))
-    parsed = _numbers(spark, d).select("l_orderkey", "l_linenumber", numbers.thai_word_to_number(word).alias("n"))
+    parsed = _spread(_numbers(spark, d), "l_orderkey").select("l_orderkey", "l_linenumber", numbers.thai_word_to_number(word).alias("n"))
     return parsed.withColumn("decimal", F.col("n").cast("string"))
 
 
@@ -187,7 +194,8 @@ def baht_text(spark: SparkSession, d: str) -> DataFrame:
 @query(_BAHT)
 def parse_baht(spark: SparkSession, d: str) -> DataFrame:
     parsed = numbers.parse_baht_text(F.col("amount"))
-    return baht_text(spark, d).select("o_orderkey", parsed.alias("p")).select("o_orderkey", "p.baht", "p.satang")
+    amounts = _spread(_amounts(spark, d), "o_orderkey").select("o_orderkey", numbers.number_to_baht_text(F.col("baht"), F.col("satang")).alias("amount"))
+    return amounts.select("o_orderkey", parsed.alias("p")).select("o_orderkey", "p.baht", "p.satang")
 
 
 def _list(names: list[str]) -> str:
@@ -292,7 +300,7 @@ def sounds_like_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def metasound(spark: SparkSession, d: str) -> DataFrame:
-    return _words(spark, d).select("o_orderkey", phonetic.metasound(F.col("word")).alias("code"))
+    return _words(spark, d, spread=True).select("o_orderkey", phonetic.metasound(F.col("word")).alias("code"))
 
 
 @query()
@@ -309,22 +317,21 @@ _PIECES = f"SELECT o_orderkey, regexp_extract_all(word, '{'|'.join(sorted(lexico
 
 @query(_PIECES)
 def segment_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.segment_words(_words(spark, d), lexicons.builtin(spark), "o_orderkey", "word")
+    return segmentation.segment_words(_words(spark, d, spread=True), lexicons.builtin(spark), "o_orderkey", "word")
 
 
 @query(f"SELECT count(*) AS n, count(*) FILTER (WHERE word = 'สิบ') AS tens FROM (SELECT unnest(words) AS word FROM ({_PIECES}))")
 def above_confidence(spark: SparkSession, d: str) -> DataFrame:
-    tokens = segmentation.segment(_words(spark, d), lexicons.builtin(spark), "o_orderkey", "word", spans=False)
+    tokens = segmentation.segment(_words(spark, d, spread=True), lexicons.builtin(spark), "o_orderkey", "word", spans=False)
     return segmentation.above_confidence(tokens, 0.5).agg(F.count("*").alias("n"), F.count_if(F.col("text") == "สิบ").alias("tens"))
 
 
 @query(f"WITH p AS (SELECT o_orderkey, sum(len(words)) AS n FROM ({_PIECES}) GROUP BY ALL) SELECT sum(n)::BIGINT AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM p")
 def boundary_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _words(spark, d).select("o_orderkey", F.col("word").alias("input"))
+    rows = _words(spark, d, spread=True).select("o_orderkey", F.col("word").alias("input"))
     cut = "|".join(sorted(lexicons.number_words(), key=len, reverse=True))
-    gold = evaluate.gold_spans(rows.withColumn("gold", F.regexp_extract_all("input", F.lit(f"({cut})"), F.lit(1))), "o_orderkey")
-    system = segmentation.segment(rows, lexicons.builtin(spark), "o_orderkey", "input")
-    return evaluate.boundary_scores(gold, system, keys=("o_orderkey", "char_start", "char_end"))
+    cases = rows.withColumn("gold", F.regexp_extract_all("input", F.lit(f"({cut})"), F.lit(1)))
+    return evaluate.case_scores(cases, lexicons.builtin(spark))
 
 
 _MEAL = "SELECT n_nationkey, 'กินข้าวกับปลาที่ประเทศไทย' AS text FROM nation"

@@ -7,10 +7,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from namtok.functions import numbers
-from namtok.operators import keywords, words
+from namtok.functions import numbers, phonetic
+from namtok.operators import evaluate, keywords, segmentation, words
 from namtok.operators.words import in_python
 from namtok.plans import fulltext
+from namtok.sources import lexicons
 
 
 def plan_of(df):
@@ -112,3 +113,40 @@ def test_script_postings(spark):
     joined = fulltext.ts_stat(fulltext.script_postings(df.repartition("doc_id"), stopwords=stops))
     assert "hashpartitioning(lexeme, doc_id" not in re.sub(r"#\d+", "", plan_of(joined))
     assert plan_of(fulltext.ts_rank(index, fulltext.to_tsquery("cat & 12"))).count("Generate") == 1
+
+
+def test_segmentation_stays_in_rows(spark):
+    lex = lexicons.builtin(spark)
+    df = spark.createDataFrame([(1, "กินข้าว 12 ok!é", ["กินข้าว", "12", "ok", "é"]), (2, "จากร้าน", ["จา", "กร้าน"]), (3, None, None), (4, "", []), (2, "ปลา", ["ปลา"])], "doc_id int, text string, gold array<string>")
+    tokens = segmentation.segment(df, lex, keep_whitespace=True)
+    rows = [(r.text, r.kind, r.char_start, r.char_end, r.byte_start, r.byte_end) for r in tokens.filter("doc_id = 1").orderBy("ord").collect()]
+    assert rows == [("กินข้าว", "Thai", 0, 7, 0, 21), (" ", "Whitespace", 7, 8, 21, 22), ("12", "Number", 8, 10, 22, 24), (" ", "Whitespace", 10, 11, 24, 25), ("ok", "Latin", 11, 13, 25, 27), ("!", "Punctuation", 13, 14, 27, 28), ("é", "Unknown", 14, 15, 28, 30)]
+    words_of = segmentation.segment_words(df, lex)
+    assert sorted((r.doc_id, r.words) for r in words_of.collect()) == [(1, ["กินข้าว", "12", "ok", "!", "é"]), (2, ["จาก", "ร้าน"]), (2, ["ปลา"])]
+    once_each = df.filter("text <> 'ปลา' or text is null")
+    scores = evaluate.case_scores(once_each, lex, "gold", "text")
+    long_way = evaluate.boundary_scores(evaluate.gold_spans(once_each, "doc_id", "gold", "text"), segmentation.segment(once_each, lex))
+    assert scores.collect() == long_way.collect() and scores.first().tp == 4
+    for made in (tokens, words_of, scores):
+        assert "hashpartitioning" not in plan_of(made)  # nothing is dealt by document, run or span
+
+
+def test_metasound_syllables(column):
+    """Codes are those of each syllable alone; texts are parted once."""
+    rng = random.Random(7)
+    chars = "กงนมยรอหฮญ" + "เแโใไ" + "ัิีืฺุู" + "่้์ํ" + "ะาำ" + "a|;\n "
+    texts = ["".join(rng.choices(chars, k=rng.randint(0, 12))) for _ in range(1500)] + [None]
+
+    def plain(text):
+        out, meta = "", in_python(phonetic.SYLLABLE)
+        initials, finals = ({c: k for k, v in phonetic._other(g, phonetic.CONSONANTS, other).items() for c in v} for g, other in ((phonetic.META_INITIAL, "J"), (phonetic.META_FINAL, "6")))
+        for m in re.finditer(meta, text):
+            lead, first, silent, marks, follow, last = (g or "" for g in m.groups())
+            if silent:
+                continue
+            upper = re.sub(in_python(f"[^{phonetic.UPPER}]"), "", marks)[-1:]
+            vowel = "D" if "ํ" in marks else "E" if lead in tuple("ไใ") else "F" if lead == "เ" and follow == "า" else "8" if lead in tuple("เแ") else "9" if lead == "โ" else phonetic.META_UPPER.get(upper) or {"า": "1", "ำ": "D"}.get(follow, "0")
+            out += initials[first] + vowel + (finals[last] if last else "6")
+        return out or "000"
+
+    assert column(phonetic.metasound, texts) == [None if t is None else plain(t) for t in texts]
